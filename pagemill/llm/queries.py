@@ -4,16 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.ann import ORACLE as ann_sql
+from pagemill.llm.quality_rules import ORACLE as rules_sql
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.ngram_join import similar
+
+    return similar(_read(spark, sf_dir, "documents"))
+
+
+def op3_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.ann import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.quality_rules import apply_rules
+
+    return apply_rules(_read(spark, sf_dir, "documents"))
+
+
+def op6_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.warc import archive_round_trip
+
+    return archive_round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pagemill.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.suffix_dedup import dedup
 
     return dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_suffix_array_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op3_block_matrix_neighbours, op5_line_frequency_rules, op6_seekable_warc, op7_hilbert_packing, op10_suffix_array_dedup)
+}
+ORACLE: dict[str, str] = {"op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql}
