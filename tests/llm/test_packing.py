@@ -35,11 +35,12 @@ def test_hilbert_neighbours():
 
 
 @pytest.mark.parametrize("sizes", [(2048, 4 << 20), (16, 1 << 10)])
-def test_pieces(spark, sf, sizes):
+def test_pieces(spark, sf, sizes, tmp_path):
     length, each = sizes
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "x"), (10**6 + 1, "", "y"), (10**6 + 2, "a b", "z")], "doc_id long, text string, length string")
-    both = docs.unionByName(extra, allowMissingColumns=True)
+    docs.unionByName(extra, allowMissingColumns=True).write.parquet(str(tmp_path / "d"))
+    both = spark.read.parquet(str(tmp_path / "d"))
     got = pack(both, PATH, length, bytes_each=each).collect()
     tok = Tokenizer.from_file(PATH)
     want = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in both.collect()}
