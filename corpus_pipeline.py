@@ -1,11 +1,72 @@
-"""The corpus pipeline: language, near copies, repeated passages, secrets, packing."""
+"""The corpus pipeline: language, near copies, repeated passages, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes each
+stage's result to the shared folder and reads it back for the next. All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm.language import identify_documents
+from pagemill.llm.ngram_join import similar
+from pagemill.llm.packing import pack
+from pagemill.llm.secrets import redact
+from pagemill.llm.spark import shared_folder
+from pagemill.llm.suffix_dedup import dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no letters, or no clear evidence) go."""
+    return _without(docs, identify_documents(docs).where("not kept").select("doc_id"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the least doc_id stays."""
+    return _without(docs, similar(docs).where("component_id <> doc_id").select("doc_id"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that an earlier document holds are cut out."""
+    return _measured(dedup(docs.select(*COLUMNS), text_out=True))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return _measured(redact(docs.select(*COLUMNS)))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, documents in Hilbert order."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
+
+#: Text likelihoods, the forest and the tokeniser have no SQL form; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

@@ -13,16 +13,14 @@ into its pairs:
    exact overlap suffices. Most true links end inside one component this way.
 4. What is left is found exactly. In the order "unshared first, then by hash",
    two linked classes share a shingle within their prefixes (n - ceil(0.75 n) + 1
-   long). Prefix lists that lie in one component need no more work; in the
-   others a T-occurrence search (DivideSkip: heap-merge of short lists,
-   binary probes into long ones) runs between different components. Lists with
-   the same members count once, long lists are dealt out as pairs of blocks.
+   long). Prefix lists that lie in one component need no more work. The others
+   tie their members into cells, and in each cell a T-occurrence search
+   (DivideSkip: merge of short lists, binary probes into long ones) runs
+   between different components. A large cell is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,7 +34,7 @@ from pagemill.llm.components import components
 from pagemill.llm.spark import batch, cut, joined, part_count, runs, table
 from pagemill.llm.suffix_dedup import ddl
 
-SEEDS = 6
+SEEDS = 4
 _ODD = mix(np.arange(1, 33, dtype=U64)) | U64(1)
 _MAP = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
 _SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
@@ -75,6 +73,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.n
     return h[keep], o[keep]
 
 
+def narrow(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What stands for a shingle from here on: 48 bits of its hash, and 16 of its part."""
+    return h & U64(0xFFFFFFFFFFFF) | part.astype(U64) << U64(48)
+
+
 def least_shared(n):
     """The least overlap a set of n can have with a partner: ceil(0.75 n)."""
     return -(-3 * n // 4)
@@ -116,16 +119,16 @@ def _shingle(parts: int):
             spread = int(mix(np.array([block], U64))[0] >> U64(33)) % parts
             put(spread, DOC, ids, np.concatenate([n, s[0].view(np.int64), s[1].view(np.int64)]))
             if many.any():
-                put(spread, THROUGH, h[many], o[many])
+                put(spread, THROUGH, narrow(h[many], ((h[many] >> U64(33)) % U64(parts)).astype(np.int64)), o[many])
             # a shingle of several documents of the block is announced once
             key = np.concatenate([h[~many], h[start[size > 1]]])
             doc = np.concatenate([o[~many], np.full(int((size > 1).sum()), ANNOUNCE, np.uint32)])
             part = ((key >> U64(33)) % U64(parts)).astype(np.int64)
             order = np.lexsort((doc, part))
-            key, doc, part = key[order], doc[order], part[order]
+            key, doc, part = narrow(key[order], part[order]), doc[order], part[order]
             at = runs(part)
             for i, j in zip(at, np.append(at[1:], len(part))):
-                put(int(part[i]), ENTRY, key[i:j], doc[i:j])
+                put(int(part[i]), ENTRY, key[i:j].view(np.uint16).reshape(-1, 4)[:, :3], np.diff(doc[i:j], prepend=np.uint32(0)))
             yield batch(out, _MAP)
 
     return run
@@ -136,7 +139,14 @@ def _share(tbl: pa.Table) -> pa.Table:
     kinds = tbl.column("kind").to_pylist()
     rows = [i for i, k in enumerate(kinds) if k == ENTRY]
     part = tbl.take(pa.array(rows, pa.int64()))
-    key, doc = joined(part, "key", U64), joined(part, "doc", np.uint32)
+    sizes = np.array([len(x) // 4 for x in part.column("doc").to_pylist()], np.int64)
+    ends = np.cumsum(sizes)
+    wide = np.zeros((int(sizes.sum()), 4), np.uint16)
+    wide[:, :3] = joined(part, "key", np.uint16).reshape(-1, 3)
+    key = wide.view(U64).reshape(-1)
+    step = joined(part, "doc", np.uint32)
+    doc = np.cumsum(step, dtype=np.uint32)
+    doc -= np.repeat((doc - step)[ends - sizes], sizes)  # deltas start anew in each row
     order = np.argsort(key, kind="stable")
     start = runs(key[order])
     size = np.diff(np.append(start, len(key)))
@@ -146,7 +156,7 @@ def _share(tbl: pa.Table) -> pa.Table:
     hit &= doc != ANNOUNCE
     rest = tbl.filter(pa.array([k != ENTRY for k in kinds], pa.bool_()))
     out: dict = {f.name: rest.column(f.name).to_pylist() for f in _SHARED}
-    ends = np.cumsum([len(x) // 4 for x in part.column("doc").to_pylist()]).astype(np.int64)
+    key |= U64((tbl.column("part")[0].as_py() & 0xFFFF) if tbl.num_rows else 0) << U64(48)
     at = np.append(0, ends)
     for b, i, j in zip(part.column("block").to_pylist(), at[:-1], at[1:]):
         m = np.flatnonzero(hit[i:j]) + i
@@ -175,46 +185,63 @@ def _documents(tbl: pa.Table) -> pa.Table:
     return table({"doc_id": ids, "n": n, "s1": s1, "s2": s2, "tokens": tokens, "keys": keys}, _DOCS)
 
 
-def divide_skip(index: dict[int, list[int]], query: list[int], least: int, before: int) -> list[tuple[int, int]]:
+class Lists:
+    """Inverted lists of a group of documents: ascending document numbers by token, one after another."""
+
+    def __init__(self, tokens: list[np.ndarray]):
+        flat = np.concatenate(tokens)
+        own = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        order = np.argsort(flat, kind="stable")
+        self.docs = own[order]
+        at = runs(flat[order])
+        size = np.diff(np.append(at, len(flat)))
+        many = size > 1  # a token of one document meets nobody
+        self.token, self.at, self.size = flat[order][at[many]], at[many], size[many]
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """Numbers of the lists of a query's tokens."""
+        if not len(self.token):
+            return np.zeros(0, np.int64)
+        k = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
+        return k[self.token[k] == query]
+
+    def gather(self, lists: np.ndarray) -> np.ndarray:
+        size = self.size[lists]
+        total = np.cumsum(size)
+        return self.docs[np.repeat(self.at[lists] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+
+
+def divide_skip(index: Lists, query: np.ndarray, least: int, before: int) -> list[tuple[int, int]]:
     """(document, overlap) for each document < before that holds at least ``least`` of the query's tokens.
 
-    index: ascending document numbers by token. The longest ``least - 1`` lists at
-    most are set aside; the others are merged with a heap that skips ahead where
-    a document cannot reach the rest, and its candidates probe the long lists.
+    The longest ``least - 1`` lists at most are set aside. The others are merged
+    (their runs by one stable sort, the array form of the heap), a document seen
+    too seldom to reach the rest is skipped, and what remains probes each long
+    list by binary search.
     """
-    lists = sorted((x for x in (index.get(t) for t in query) if x and x[0] < before), key=len)
+    lists = index.of(query)
     if len(lists) < least:
         return []
-    longest = min(least - 1, int(least / (0.01 * np.log2(max(2, len(lists[-1]))) + 1)))
+    lists = lists[np.argsort(index.size[lists], kind="stable")]
+    longest = min(least - 1, int(least / (0.01 * np.log2(max(2, index.size[lists[-1]])) + 1)))
     short, long = lists[: len(lists) - longest], lists[len(lists) - longest :]
-    need = least - len(long)
-    heap = [(x[0], k, 0) for k, x in enumerate(short)]
-    heapq.heapify(heap)
-    out = []
-    while len(heap) >= need and heap:
-        top = heap[0][0]
-        if top >= before:
-            break
-        popped = []
-        while heap and heap[0][0] == top:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= need:
-            total = len(popped) + sum(1 for x in long if (p := bisect_left(x, top)) < len(x) and x[p] == top)
-            if total >= least:
-                out.append((top, total))
-            goal = top + 1
-        else:
-            while heap and len(popped) < need - 1:
-                popped.append(heapq.heappop(heap))
-            goal = max(top + 1, heap[0][0]) if heap else before
-        for _, k, p in popped:
-            p = bisect_left(short[k], goal, p)
-            if p < len(short[k]):
-                heapq.heappush(heap, (short[k][p], k, p))
-    return out
-
-
-def _search_group(ids: list[int], comps: list[int], sizes: list[int], tokens: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
+    merged = index.gather(short)
+    merged = np.sort(merged[merged < before], kind="stable")
+    at = runs(merged)
+    count = np.diff(np.append(at, len(merged)))
+    enough = count >= least - len(long)
+    found, count = merged[at[enough]], count[enough]
+    if len(found) and len(long):
+        span = int(index.docs.max()) + 1
+        keyed = np.repeat(np.arange(len(long)) * span, index.size[long]) + index.gather(long)
+        probe = (np.arange(len(long)) * span)[:, None] + found[None, :]
+        k = np.minimum(np.searchsorted(keyed, probe.ravel()), len(keyed) - 1).reshape(probe.shape)
+        count = count + (keyed[k] == probe).sum(0)
+    keep = count >= least
+    return list(zip(found[keep].tolist(), count[keep].tolist()))
+
+
+def _search_group(ids: list[int], comps: list[int], sizes: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between different components in a group; a component pair needs one link only."""
     parent: dict[int, int] = {}
 
@@ -224,39 +251,34 @@ def _search_group(ids: list[int], comps: list[int], sizes: list[int], tokens: li
         return x
 
     order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
-    held, count = np.unique(np.concatenate([np.asarray(t) for t in tokens]), return_counts=True)
-    common = held[count > 1]
-    index: dict[int, list[int]] = {}
+    index = Lists([tokens[i] for i in order])
     found = []
     for pos, i in enumerate(order):
-        mine = np.intersect1d(tokens[i], common, assume_unique=True).tolist()
-        for j_pos, inter in divide_skip(index, mine, least_shared(sizes[i]), pos):
+        for j_pos, inter in divide_skip(index, tokens[i], least_shared(sizes[i]), pos):
             j = order[j_pos]
             a, b = find(comps[i]), find(comps[j])
             if a != b and linked(inter, sizes[i], sizes[j]):
                 parent[max(a, b)] = min(a, b)
                 found.append((ids[i], ids[j]))
-        for t in mine:
-            index.setdefault(t, []).append(pos)
     return found
 
 
 def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, i, j): run the search on each group."""
+    """Rows sorted by (cell, i, j): run the search on each group."""
     group, rows = None, []
 
     def flush():
-        found = _search_group(*(list(x) for x in zip(*rows))) if len({r[1] for r in rows}) > 1 else []
+        found = _search_group(*(list(x) for x in zip(*rows))) if len({r[1] for r in rows}) > 1 else []  # noqa: B905
         return batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, _LINK)
 
     for b in batches:
         cols = b.to_pydict()
-        for t, i, j, rep, comp, n, tokens, own in zip(*(cols[c] for c in ("token", "i", "j", "rep", "comp", "n", "tokens", "own"))):
+        for t, i, j, rep, comp, n, tokens in zip(*(cols[c] for c in ("cell", "i", "j", "rep", "comp", "n", "tokens"))):
             if (t, i, j) != group:
                 if rows:
                     yield flush()
                 group, rows = (t, i, j), []
-            rows.append((rep, comp, n, np.array(tokens, np.int64), own))
+            rows.append((rep, comp, n, np.array(tokens, np.int64)))
     if rows:
         yield flush()
 
@@ -268,7 +290,7 @@ def shared_documents(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(_shingle(parts), ddl(_MAP)).groupBy("part").applyInArrow(_share, ddl(_SHARED)).groupBy("block").applyInArrow(_documents, ddl(_DOCS))
 
 
-def similar(docs: DataFrame, block: int = 512) -> DataFrame:
+def similar(docs: DataFrame, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Words are maximal runs of bytes other than space and \\t..\\r, with A-Z in lower
@@ -303,8 +325,8 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _pivot_links(sets: DataFrame) -> DataFrame:
     posts = sets.select("rep", F.posexplode("keys").alias("seed", "key"))
-    ends = posts.groupBy("seed", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    pairs = posts.join(ends, ["seed", "key"]).select(F.col("rep").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    ends = posts.groupBy("seed", "key").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi")
+    pairs = posts.join(ends, ["seed", "key"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     return _overlap(pairs, sets)
 
 
@@ -312,14 +334,15 @@ def _exact_links(sets: DataFrame, label: DataFrame, block: int) -> DataFrame | N
     """Links between different components, found through prefix lists; None if no list joins two components."""
     prefix = F.expr("slice(tokens, 1, cast(size(tokens) - ceil(0.75D * n) + 1 as int))")
     sets = sets.join(label, F.col("rep") == F.col("id"), "left").select("rep", "n", "tokens", F.coalesce("comp", "rep").alias("comp"))
-    posts = sets.select("rep", "comp", "n", F.explode(prefix).alias("token"))
-    lists = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).where("lo < hi")
-    lists = lists.groupBy("m", "who", "lo", "hi").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    rest = cut(posts.select("token", "rep").join(lists, "token"))
-    if not rest.take(1):
+    posts = sets.select("rep", "comp", F.explode(prefix).alias("token"))
+    lists = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("b")).where("lo < hi").select("token", "b")
+    edges = cut(posts.join(lists, "token").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    if not edges.take(1):
         return None
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = rest.select("token", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("token", "rep", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    rows = dealt.join(sets, "rep").select("token", "i", "j", "rep", "comp", "n", "tokens", "own")
+    cell = components(edges)
+    size = cell.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    cell = cell.join(size, "comp").select(F.col("id").alias("rep"), F.col("comp").alias("cell"), "nb").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = cell.select("cell", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("cell", "rep", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    rows = dealt.join(sets, "rep").select("cell", "i", "j", "rep", "comp", "n", "tokens")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_search, ddl(_LINK)).distinct())
+    return cut(rows.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_search, ddl(_LINK)).distinct())

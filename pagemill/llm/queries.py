@@ -18,6 +18,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(_read(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pagemill.llm.sentencepiece import encode_documents
+
+    return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.ann import nearest
 
@@ -25,6 +32,12 @@ def op3_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.quality_rules import apply_rules
 
@@ -44,6 +57,18 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.language import identify_documents
+
+    return identify_documents(_read(spark, sf_dir, "documents"))
+
+
+def op9_additive_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.gam import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.suffix_dedup import dedup
 
@@ -52,6 +77,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_block_matrix_neighbours, op5_line_frequency_rules, op6_seekable_warc, op7_hilbert_packing, op10_suffix_array_dedup)
+    for f in (
+        op1_ngram_jaccard_join, op2_sentencepiece_viterbi, op3_block_matrix_neighbours, op4_secret_scan, op5_line_frequency_rules,
+        op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup,
+    )
 }
 ORACLE: dict[str, str] = {"op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql}

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 from pagemill.llm.components import components
-from pagemill.llm.ngram_join import divide_skip, similar
+from pagemill.llm.ngram_join import Lists, divide_skip, similar
 
 
 def shingles(t):
@@ -85,14 +85,11 @@ def test_pinned_table(spark, sf):
 def test_divide_skip():
     r = random.Random(5)
     docs = [sorted(r.sample(range(60), r.randint(1, 30))) for _ in range(80)]
-    index = {}
-    for d, ts in enumerate(docs):
-        for t in ts:
-            index.setdefault(t, []).append(d)
+    index = Lists([np.array(d) for d in docs])
     for q in docs:
         for least in (1, 3, 8, 20):
             want = sorted((d, k) for d in range(50) if (k := len(set(q) & set(docs[d]))) >= least)
-            assert divide_skip(index, q, least, 50) == want
+            assert divide_skip(index, np.array(q), least, 50) == want
 
 
 def test_components(spark):
