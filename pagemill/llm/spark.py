@@ -21,7 +21,8 @@ def input_bytes(df: DataFrame) -> int:
 def part_count(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Parts for a keyed exchange of packed rows: grows with the input, so that a part stays a few MB."""
     conf = int(session(df).conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * conf, min(200_000, input_bytes(df) // bytes_each))
+    size = input_bytes(df)
+    return max(4 * conf, min(200_000, size // bytes_each if size < 1 << 50 else 0))  # Catalyst says 2^63 where it does not know
 
 
 def _has_folder(spark: SparkSession) -> bool:

@@ -95,7 +95,9 @@ def test_divide_skip():
 def test_components(spark):
     r = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)]
-    got = {x.id: x.comp for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.id: x.comp for x in components(df, 0).collect()}
+    assert all({x.id: x.comp for x in components(df, k).collect()} == got for k in (20, 1000))
     parent = {x: x for e in edges for x in e}
     for _ in range(300):
         for a, b in edges:
