@@ -41,7 +41,6 @@ _SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.bin
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 ENTRY, THROUGH, DOC = 0, 1, 2
-ANNOUNCE = 0xFFFFFFFF
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +77,18 @@ def narrow(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return h & U64(0xFFFFFFFFFFFF) | part.astype(U64) << U64(48)
 
 
+def tally(doc: np.ndarray, n: int) -> np.ndarray:
+    """Ascending document numbers below n as counts, in one byte each where they fit; the first byte is the width."""
+    count = np.bincount(doc, minlength=n)
+    kind = np.uint8 if count.max(initial=0) < 256 else np.uint32
+    return np.frombuffer(bytes([kind().itemsize]) + count.astype(kind).tobytes(), np.uint8)
+
+
+def untally(packed: bytes) -> np.ndarray:
+    count = np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1)
+    return np.repeat(np.arange(len(count), dtype=np.int64), count)
+
+
 def least_shared(n):
     """The least overlap a set of n can have with a partner: ceil(0.75 n)."""
     return -(-3 * n // 4)
@@ -119,16 +130,18 @@ def _shingle(parts: int):
             spread = int(mix(np.array([block], U64))[0] >> U64(33)) % parts
             put(spread, DOC, ids, np.concatenate([n, s[0].view(np.int64), s[1].view(np.int64)]))
             if many.any():
-                put(spread, THROUGH, narrow(h[many], ((h[many] >> U64(33)) % U64(parts)).astype(np.int64)), o[many])
-            # a shingle of several documents of the block is announced once
+                k, d = h[many], o[many]
+                by = np.lexsort((k, d))
+                put(spread, THROUGH, narrow(k, ((k >> U64(33)) % U64(parts)).astype(np.int64))[by], tally(d[by], len(ids)))
+            # a shingle of several documents of the block is announced once, as of a document after the last
             key = np.concatenate([h[~many], h[start[size > 1]]])
-            doc = np.concatenate([o[~many], np.full(int((size > 1).sum()), ANNOUNCE, np.uint32)])
+            doc = np.concatenate([o[~many], np.full(int((size > 1).sum()), len(ids), np.uint32)])
             part = ((key >> U64(33)) % U64(parts)).astype(np.int64)
             order = np.lexsort((doc, part))
             key, doc, part = narrow(key[order], part[order]), doc[order], part[order]
             at = runs(part)
             for i, j in zip(at, np.append(at[1:], len(part))):
-                put(int(part[i]), ENTRY, key[i:j].view(np.uint16).reshape(-1, 4)[:, :3], np.diff(doc[i:j], prepend=np.uint32(0)))
+                put(int(part[i]), ENTRY, key[i:j].view(np.uint16).reshape(-1, 4)[:, :3], tally(doc[i:j], len(ids) + 1))
             yield batch(out, _MAP)
 
     return run
@@ -139,21 +152,20 @@ def _share(tbl: pa.Table) -> pa.Table:
     kinds = tbl.column("kind").to_pylist()
     rows = [i for i, k in enumerate(kinds) if k == ENTRY]
     part = tbl.take(pa.array(rows, pa.int64()))
-    sizes = np.array([len(x) // 4 for x in part.column("doc").to_pylist()], np.int64)
-    ends = np.cumsum(sizes)
-    wide = np.zeros((int(sizes.sum()), 4), np.uint16)
+    docs = [untally(x) for x in part.column("doc").to_pylist()]
+    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    announced = np.concatenate([d == (len(x) - 1) // x[0] - 1 for d, x in zip(docs, part.column("doc").to_pylist())]) if docs else np.zeros(0, bool)
+    ends = np.cumsum([len(d) for d in docs]).astype(np.int64)
+    wide = np.zeros((len(doc), 4), np.uint16)
     wide[:, :3] = joined(part, "key", np.uint16).reshape(-1, 3)
     key = wide.view(U64).reshape(-1)
-    step = joined(part, "doc", np.uint32)
-    doc = np.cumsum(step, dtype=np.uint32)
-    doc -= np.repeat((doc - step)[ends - sizes], sizes)  # deltas start anew in each row
     order = np.argsort(key, kind="stable")
     start = runs(key[order])
     size = np.diff(np.append(start, len(key)))
-    weight = np.add.reduceat(np.where(doc[order] == ANNOUNCE, 2, 1), start) if len(key) else size
+    weight = np.add.reduceat(np.where(announced[order], 2, 1), start) if len(key) else size
     hit = np.zeros(len(key), bool)
     hit[order] = np.repeat(weight > 1, size)
-    hit &= doc != ANNOUNCE
+    hit &= ~announced
     rest = tbl.filter(pa.array([k != ENTRY for k in kinds], pa.bool_()))
     out: dict = {f.name: rest.column(f.name).to_pylist() for f in _SHARED}
     key |= U64((tbl.column("part")[0].as_py() & 0xFFFF) if tbl.num_rows else 0) << U64(48)
@@ -161,7 +173,7 @@ def _share(tbl: pa.Table) -> pa.Table:
     for b, i, j in zip(part.column("block").to_pylist(), at[:-1], at[1:]):
         m = np.flatnonzero(hit[i:j]) + i
         if len(m):
-            for name, x in (("block", b), ("kind", ENTRY), ("key", key[m].tobytes()), ("doc", doc[m].tobytes())):
+            for name, x in (("block", b), ("kind", ENTRY), ("key", key[m].tobytes()), ("doc", tally(doc[m], 1).tobytes())):
                 out[name].append(x)
     return table(out, _SHARED)
 
@@ -171,7 +183,7 @@ def _documents(tbl: pa.Table) -> pa.Table:
     head = tbl.filter(pa.array([k == DOC for k in tbl.column("kind").to_pylist()], pa.bool_()))
     body = tbl.filter(pa.array([k != DOC for k in tbl.column("kind").to_pylist()], pa.bool_()))
     ids, (n, s1, s2) = joined(head, "key", np.int64), joined(head, "doc", np.int64).reshape(3, -1)
-    key, doc = joined(body, "key", U64), joined(body, "doc", np.uint32).astype(np.int64)
+    key, doc = joined(body, "key", U64), np.concatenate([untally(x) for x in body.column("doc").to_pylist()] or [np.zeros(0, np.int64)])
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     m = np.bincount(doc, minlength=len(ids))
@@ -324,9 +336,9 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pivot_links(sets: DataFrame) -> DataFrame:
-    posts = sets.select("rep", F.posexplode("keys").alias("seed", "key"))
-    ends = posts.groupBy("seed", "key").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi")
-    pairs = posts.join(ends, ["seed", "key"]).select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+    posts = sets.select("rep", "n", F.posexplode("keys").alias("seed", "key"))
+    ends = posts.groupBy("seed", "key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
+    pairs = posts.join(ends, ["seed", "key"]).where("rep <> lo.rep and 4 * n >= 3 * lo.n and 4 * lo.n >= 3 * n").select(F.col("rep").alias("a"), F.col("lo.rep").alias("b")).distinct()
     return _overlap(pairs, sets)
 
 
