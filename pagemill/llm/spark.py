@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and go on from there, free of its lineage."""
-    shared_folder(session(df))
-    return df.checkpoint()
+    """Write the frame to a table in the shared folder and go on from there, free of its lineage.
+
+    A table, unlike an RDD checkpoint, is compressed, read by column and of known size.
+    It goes when the session ends.
+    """
+    spark = session(df)
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(columns: dict, schema: pa.Schema) -> pa.Table:

@@ -64,7 +64,7 @@ def _parse(parts: int, width: int):
             part = part[order]
             at = runs(part)
             ends = np.append(at[1:], len(part))
-            cols = [key[order], content[order], ids_of(rows)[owner][order], (first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
+            cols = [key[order].view(np.uint16).reshape(-1, 4)[:, :3], content[order], ids_of(rows)[owner][order], (first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
             yield batch({"part": part[at].astype(np.int32), "block": np.full(len(at), block)} | {name: [c[i:j].tobytes() for i, j in zip(at, ends)] for name, c in zip(("key", "content", "doc", "lo", "len"), cols)}, _A)
 
     return run
@@ -74,7 +74,11 @@ def _meet(hot: int):
     """All phrases of a trigger: mark repeats and the first of each of several phrases."""
 
     def run(tbl: pa.Table) -> pa.Table:
-        key, content, doc, lo, size = joined(tbl, "key", U64), joined(tbl, "content", U64), joined(tbl, "doc", np.int64), joined(tbl, "lo", np.uint32), joined(tbl, "len", np.uint8)
+        narrow = joined(tbl, "key", np.uint16).reshape(-1, 3)  # 48 bits tell triggers of a part apart; a chance meeting is resolved by suffix order
+        wide = np.zeros((len(narrow), 4), np.uint16)
+        wide[:, :3] = narrow
+        key = wide.view(U64).reshape(-1)
+        content, doc, lo, size = joined(tbl, "content", U64), joined(tbl, "doc", np.int64), joined(tbl, "lo", np.uint32), joined(tbl, "len", np.uint8)
         counts = np.array([len(x) for x in tbl.column("len").to_pylist()])
         kind = np.zeros(len(key), np.uint8)
         order = np.argsort(key, kind="stable")
