@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.bytesio import SPACE, U64, mix, prefix_hash, range_hash, slices, words
-from pagemill.llm.spark import batch, cut, runs
+from pagemill.llm.spark import batch, cut, least_hashed, runs
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "punctuation", "wide", "blank", "line_length", "dup_lines", "distinct_words", "top_word", "entropy", "end_stops", "long_words", "repeat_windows")
 _UPPER, _DIGIT, _LOWER = np.zeros((3, 256))
@@ -202,7 +202,8 @@ def fold(doc_id) -> object:
 def train(rows: DataFrame, labels: DataFrame, most: int = 20_000, label: str = "quality") -> Gam:
     """Fit on at most ``most`` labelled rows outside the held-out fold (those of least id hash)."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null").where(fold(F.col("id")) != 0).distinct()
-    got = rows.join(known, F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most).select("x", "y").toPandas()
+    known = cut(least_hashed(known, "id", most, "y"))
+    got = rows.join(known, F.col("doc_id") == F.col("id")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").select("x", "y").limit(most).toPandas()
     return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(float))
 
 

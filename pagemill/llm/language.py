@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.bytesio import LOWER, slices
-from pagemill.llm.spark import batch, cut
+from pagemill.llm.spark import batch, cut, least_hashed
 
 HASH_BITS = 14
 UNKNOWN = "und"
@@ -55,8 +55,8 @@ def _counts(langs: list[str]):
 def fit_text_model(docs: DataFrame, label: str = "lang", most: int = 4000, most_langs: int = 64) -> tuple[list[str], np.ndarray]:
     """(languages, log P(trigram | language)) from at most ``most`` labelled rows (those of least id hash)."""
     known = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("string").alias("lang")).orderBy(F.xxhash64("doc_id"), "id", "lang").limit(most).distinct()
-    ids = cut(ids)
+    ids = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("string").alias("lang"))
+    ids = cut(least_hashed(ids, "id", most, "lang").distinct())
     seen = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
     langs = sorted(r["lang"] for r in seen)
     if not langs:
