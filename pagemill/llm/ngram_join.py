@@ -11,9 +11,9 @@ into its pairs:
 3. Classes that agree on a minimum over their shared shingles are compared with
    two pivots of that group (a linear number of pairs) and linked where the
    exact overlap suffices. Most true links end inside one component this way.
-4. What is left is found exactly. In the order "unshared first, then by hash",
+4. What is left is found exactly. In the order "unshared first, then rare ones, then by hash",
    two linked classes share a shingle within their prefixes (n - ceil(0.75 n) + 1
-   long). Prefix lists that lie in one component need no more work. The others
+   long; rarer shingles come before commoner ones). Prefix lists that lie in one component need no more work. The others
    tie their members into cells, and in each cell a T-occurrence search
    (DivideSkip: merge of short lists, binary probes into long ones) runs
    between different components. A large cell is dealt out as pairs of blocks.
@@ -40,7 +40,9 @@ _MAP = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32
 _SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-ENTRY, THROUGH, DOC = 0, 1, 2
+ENTRY, THROUGH, DOC, ANSWER = 0, 1, 2, 3
+#: A token: how common it is (6 bits, log2 of the blocks that hold it), 10 bits of its part, 48 of its hash; so ascending is rarest first.
+_PLACE = U64((1 << 58) - 1)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.n
 
 
 def narrow(h: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """What stands for a shingle from here on: 48 bits of its hash, and 16 of its part."""
+    """48 bits of a shingle's hash, and its part above them."""
     return h & U64(0xFFFFFFFFFFFF) | part.astype(U64) << U64(48)
 
 
@@ -165,25 +167,36 @@ def _share(tbl: pa.Table) -> pa.Table:
     weight = np.add.reduceat(np.where(announced[order], 2, 1), start) if len(key) else size
     hit = np.zeros(len(key), bool)
     hit[order] = np.repeat(weight > 1, size)
-    hit &= ~announced
+    common = np.zeros(len(key), U64)
+    common[order] = np.repeat(np.minimum(np.log2(np.maximum(weight, 1)), 31).astype(np.int64), size).astype(U64)
     rest = tbl.filter(pa.array([k != ENTRY for k in kinds], pa.bool_()))
     out: dict = {f.name: rest.column(f.name).to_pylist() for f in _SHARED}
-    key |= U64((tbl.column("part")[0].as_py() & 0xFFFF) if tbl.num_rows else 0) << U64(48)
+    key |= U64((tbl.column("part")[0].as_py() & 0x3FF) if tbl.num_rows else 0) << U64(48) | common << U64(58)
     at = np.append(0, ends)
     for b, i, j in zip(part.column("block").to_pylist(), at[:-1], at[1:]):
-        m = np.flatnonzero(hit[i:j]) + i
+        m = np.flatnonzero(hit[i:j] & ~announced[i:j]) + i
         if len(m):
             for name, x in (("block", b), ("kind", ENTRY), ("key", key[m].tobytes()), ("doc", tally(doc[m], 1).tobytes())):
                 out[name].append(x)
+        m = np.flatnonzero(announced[i:j]) + i
+        if len(m):  # how common the shingles are that the block knows to be shared
+            for name, x in (("block", b), ("kind", ANSWER), ("key", key[m].tobytes()), ("doc", b"")):
+                out[name].append(x)
     return table(out, _SHARED)
 
 
 def _documents(tbl: pa.Table) -> pa.Table:
     """The documents of a block; those that may have a partner with their shared shingles and minimum keys."""
-    head = tbl.filter(pa.array([k == DOC for k in tbl.column("kind").to_pylist()], pa.bool_()))
-    body = tbl.filter(pa.array([k != DOC for k in tbl.column("kind").to_pylist()], pa.bool_()))
+    kinds = np.array(tbl.column("kind").to_pylist())
+    of = lambda kind: tbl.filter(pa.array(kinds == kind))
+    numbers = lambda t: np.concatenate([untally(x) for x in t.column("doc").to_pylist()] or [np.zeros(0, np.int64)])
+    head, entries, local = of(DOC), of(ENTRY), of(THROUGH)
     ids, (n, s1, s2) = joined(head, "key", np.int64), joined(head, "doc", np.int64).reshape(3, -1)
-    key, doc = joined(body, "key", U64), np.concatenate([untally(x) for x in body.column("doc").to_pylist()] or [np.zeros(0, np.int64)])
+    answer, mine = np.sort(joined(of(ANSWER), "key", U64) & _PLACE), joined(local, "key", U64) & _PLACE
+    full = joined(of(ANSWER), "key", U64)
+    full = full[np.argsort(full & _PLACE, kind="stable")]
+    mine = full[np.searchsorted(answer, mine)] if len(mine) else mine
+    key, doc = np.concatenate([joined(entries, "key", U64), mine]), np.concatenate([numbers(entries), numbers(local)])
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     m = np.bincount(doc, minlength=len(ids))
@@ -284,13 +297,14 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, _LINK)
 
     for b in batches:
-        cols = b.to_pydict()
-        for t, i, j, rep, comp, n, tokens in zip(*(cols[c] for c in ("cell", "i", "j", "rep", "comp", "n", "tokens"))):
+        *cols, lists = (b.column(b.schema.get_field_index(c)) for c in ("cell", "i", "j", "rep", "comp", "n", "tokens"))
+        flat, off = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
+        for k, (t, i, j, rep, comp, n) in enumerate(zip(*(c.to_pylist() for c in cols))):
             if (t, i, j) != group:
                 if rows:
                     yield flush()
                 group, rows = (t, i, j), []
-            rows.append((rep, comp, n, np.array(tokens, np.int64)))
+            rows.append((rep, comp, n, flat[off[k] : off[k + 1]]))
     if rows:
         yield flush()
 
@@ -302,7 +316,7 @@ def shared_documents(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(_shingle(parts), ddl(_MAP)).groupBy("part").applyInArrow(_share, ddl(_SHARED)).groupBy("block").applyInArrow(_documents, ddl(_DOCS))
 
 
-def similar(docs: DataFrame, block: int = 2048) -> DataFrame:
+def similar(docs: DataFrame, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
     Words are maximal runs of bytes other than space and \\t..\\r, with A-Z in lower
