@@ -62,7 +62,7 @@ def fit_text_model(docs: DataFrame, label: str = "lang", most: int = 4000, most_
     if not langs:
         return [], np.zeros((0, 1 << HASH_BITS), np.float32)
     sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.where(F.col("lang").isin(langs))), F.col("doc_id") == F.col("id"))  # at most ``most`` ids
-    parts = sample.select("text", "lang").coalesce(64).mapInArrow(_counts(langs), "c binary").agg(F.collect_list("c")).first()[0]
+    parts = sample.select("text", "lang").repartition(16).mapInArrow(_counts(langs), "c binary").agg(F.collect_list("c")).first()[0]
     total = sum(np.frombuffer(p).reshape(len(langs), -1) for p in parts) + 0.5
     return langs, np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
