@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest.
 
-A pattern finds long mixed strings and quoted values after a credential-like
-name; the forest, trained from labelled findings, removes false positives
+Patterns find long strings, values assigned to a credential-like name (NAME=VALUE,
+NAME: VALUE, quoted or not; the value is the candidate) and passwords in addresses;
+the forest, trained from labelled findings, removes false positives
 (card numbers, commit ids, checksums, paths, identifiers, placeholders).
 """
 
@@ -21,14 +22,27 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.spark import batch
 
-CANDIDATE = re.compile(r"""(?<![A-Za-z0-9+/=_.\-])(?=[A-Za-z+/=_.\-]{0,120}[0-9])[A-Za-z0-9+/=_.\-]{16,}|(?i:\b[a-z_]*(?:password|passwd|secret|token|api_?key)["']?\s{0,3}[=:]\s{0,3}["'])([^\s"']{6,200})(?=["'])""")
 #: Fixed word lists: names that announce a credential, names that announce something else, parts of ordinary identifiers.
 ANNOUNCE = "token secret password passwd apikey api_key key access_key auth authorization bearer credential private client_secret".split()
 OTHERWISE = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid id rev revision build version isbn order invoice tracking phone card example sample placeholder test".split()
 WORDS = "the and for key token secret password user name data file path image page index test example sample config session client server service account admin default value string number version build release commit branch master main http https html json image photo video upload download public private static assets content home login order item product customer address email phone date time year month day local remote cache temp backup your here change replace insert dummy fake null none true false".split()
-FEATURES = ("length", "entropy", "transitions", "digits", "upper", "lower", "hex", "repeat", "dictionary", "path", "dots", "announced", "otherwise", "assigned", "quoted", "uuid_shape", "all_digits")
+FEATURES = ("length", "entropy", "transitions", "digits", "upper", "lower", "hex", "repeat", "dictionary", "path", "dots", "announced", "otherwise", "assigned", "quoted", "uuid_shape", "all_digits", "marks", "brackets", "userinfo")
 _WORD = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
-_BEFORE = re.compile(r"[a-z0-9_]+")
+_BEFORE = re.compile(r"[A-Za-z0-9_]+")
+_NAMES = "|".join(sorted(ANNOUNCE, key=len, reverse=True))
+#: A word that ends in an announcing name: whole, after a mark or a change of case, or one of those no other word ends in.
+_ANNOUNCES = re.compile(rf"(?:(?:^|[^A-Za-z]|(?<=[a-z])(?=[A-Z]))(?i:{_NAMES})|(?i:token|secret|password|passwd|apikey))[_\d]*$")
+#: Long strings; '=' only as padding at their end, so that the value of NAME=VALUE stands alone.
+LONG = re.compile(r"(?<![A-Za-z0-9+/_.\-])(?=[+/_.\-]*[A-Za-z0-9])[A-Za-z0-9+/_.\-]{14,}(?:=+(?![A-Za-z0-9+/_.\-=]))?")
+_SEP = r"""["']?\s{0,3}(?:=>|:=|[=:])\s{0,3}"""
+#: Values after an announcing name; unquoted ones end at the next name of a list.
+ASSIGNED = re.compile(
+    rf"""(?i:(?<![a-z0-9_.\-])[a-z0-9_.\-]*(?:{_NAMES})[_\-]?[0-9]*{_SEP}(?:(?:bearer|basic|token)\s{{1,3}})?)(?!(?i:[a-z0-9_.\-]*(?:{_NAMES})[_\-]?[0-9]*{_SEP}))"""
+    r"""(?:(?P<q>["'])(?P<quoted>(?:(?!(?P=q))\S){6,})|(?P<bare>(?:[^\s"',;&]|[,;&](?![A-Za-z0-9_.\-]+["']?[=:])){6,}))"""
+)
+#: The password of scheme://user:password@host.
+USERINFO = re.compile(r"""(?<=[A-Za-z0-9])://[^\s/:@"'<>]*:([^\s/"'<>]+)@(?=[A-Za-z0-9\[])""")
+_CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 _CLASS = np.array([3] * 256)
 _CLASS[48:58], _CLASS[65:91], _CLASS[97:123] = 0, 1, 2
 
@@ -44,57 +58,110 @@ def describe(text: str, start: int, end: int) -> list[float]:
     low = s.lower()
     covered = sum(m.end() - m.start() for m in _WORD.finditer(low))
     before = text[max(0, start - 40) : start]
-    near = _BEFORE.findall(before.lower())[-3:]
-    has = lambda names: float(any(w in names or any(w.endswith("_" + x) for x in names) for w in near))
+    near = _BEFORE.findall(before)[-3:]
+    announced = float(any(_ANNOUNCES.search(w) for w in near))
+    otherwise = float(any(w in OTHERWISE or any(w.endswith("_" + x) for x in OTHERWISE) for w in map(str.lower, near)))
     hexes = sum(c in "0123456789abcdef" for c in low)
     return [
         float(n), float(-(share * np.log2(share)).sum()), float((cls[1:] != cls[:-1]).mean()) if n > 1 else 0.0,
         float((cls == 0).mean()), float((cls == 1).mean()), float((cls == 2).mean()), hexes / n, float((raw[1:] == raw[:-1]).mean()) if n > 1 else 0.0,
         covered / n, float(s.count("/") > 1 or before.endswith(("/", "://", "\\")) or text[end : end + 1] == "/"), s.count(".") / n,
-        has(ANNOUNCE), has(OTHERWISE), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] != ""),
+        announced, otherwise, float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] != ""),
         float(bool(re.fullmatch(r"[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", low))), float(bool((cls == 0).all())),
+        float((cls == 3).mean()), float(any(c in "()[]{}<>" for c in s)), float(text[end : end + 1] == "@" and before.endswith(":")),
     ]
 
 
+def _bare_end(text: str, start: int, end: int) -> int:
+    """The end of an unquoted value without closing marks of the sentence or bracket it stands in."""
+    while end > start and (text[end - 1] in ",;." or (text[end - 1] in _CLOSERS and text.find(_CLOSERS[text[end - 1]], start, end) < 0)):
+        end -= 1
+    return end
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each candidate, in order, without overlap."""
-    return [m.span(1) if m.group(1) is not None else m.span() for m in CANDIDATE.finditer(text)]
+    """(start, end) of each candidate, in order, without overlap; assigned values and passwords go before long strings."""
+    found = [m.span(1) for m in USERINFO.finditer(text)]
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span("quoted") if m["quoted"] is not None else m.span("bare")
+        found.append((a, b if m["quoted"] is not None else _bare_end(text, a, b)))
+    found = sorted([(a, 0, b) for a, b in found if b - a >= 1] + [(m.start(), 1, m.end()) for m in LONG.finditer(text) if m.end() - m.start() >= 16])
+    named = [(a, b) for a, kind, b in found if not kind]
+    out, at, k = [], 0, 0
+    for a, kind, b in found:
+        while k < len(named) and named[k][1] <= a:
+            k += 1
+        if a >= at and not (kind and k < len(named) and named[k][0] < b):
+            out.append((a, b))
+            at = b
+    return out
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: a secret) of findings made by rule, in neighbourhoods of invented words."""
+    """Features and labels (1: a secret) of findings made by rule, in neighbourhoods of invented words.
+
+    Secrets stand quoted or bare after NAME=, NAME: or NAME, as passwords of addresses, and without
+    any name before them. Bare hexadecimal is not among the latter: it is as often a checksum.
+    """
     r = random.Random(seed)
     alnum, base64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     some = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     word = lambda: some(string.ascii_lowercase, r.randint(2, 9))
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 6)))
+    common = lambda k, by: by.join(r.choice(WORDS) for _ in range(k))
+    keys = [
+        lambda: some(alnum, r.randint(20, 44)), lambda: some(base64, r.choice([40, 43, 64])) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16),
+        lambda: word() + "_" + some(alnum, r.randint(24, 40)),
+    ]
+    hexes = lambda: some("0123456789abcdef", r.choice([16, 18, 20, 24, 32, 40, 64]))
+    password = lambda: r.choice([lambda: some(alnum + "!#$%*-_?", r.randint(7, 20)), lambda: word().capitalize() + some(string.digits, r.randint(2, 4)) + word() + r.choice("!?#*"), lambda: word().capitalize() + "3" + some(string.ascii_letters, r.randint(3, 5))])()
     x, y = [], []
     while len(y) < n:
-        secret = r.random() < 0.5
+        secret, right = r.random() < 0.5, ""
+        name = r.choice(ANNOUNCE)
+        assigned = [f'{name} = "', f"{name}: '", f'{word()}_{name}="', f"{name}=", f"{word()}_{name}=", f"{name}: ", f"{word()}{name.capitalize()}: ", f'"{name}": "']
         if secret:
-            value = r.choice([lambda: some("0123456789abcdef", r.choice([32, 40, 64])), lambda: some(alnum, r.randint(20, 44)), lambda: some(base64, r.choice([40, 43, 64])) + r.choice(["", "=", "=="]), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16), lambda: word() + "_" + some(alnum, r.randint(24, 40))])()
-            name = r.choice(ANNOUNCE)
-            left = r.choice([f'{name} = "', f"{name}: '", f'{word()}_{name}="', f"{name}=", f"{name} "])
+            form = r.randrange(8)
+            if form < 4:
+                value, left = r.choice([hexes, *keys])(), r.choice([*assigned, f"{name} "])
+                if left == f"{name} " and len(value) < 20:
+                    left = f"{name}="
+            elif form == 4:
+                value, left = password(), r.choice(assigned)
+            elif form == 5:
+                value, left, right = password().replace("#", "-"), f"{word()}://{word()}:", f"@{word()}.example.com/{word()}"
+            else:
+                value, left = r.choice(keys)(), r.choice(["", "", '"', "("])
+            while len(value) < 7:
+                value += some(alnum, 1)
         else:
-            shape = r.randrange(8)
+            shape = r.randrange(12)
             value = [
                 lambda: some("0123456789", r.randint(16, 24)), lambda: some("0123456789abcdef", r.choice([32, 40, 64])), lambda: str(uuid.UUID(int=r.getrandbits(128))),
-                lambda: "/".join([r.choice(WORDS), r.choice(WORDS), r.choice(WORDS) + some("0123456789", 3) + ".html"]), lambda: r.choice(WORDS) + "_" + r.choice(WORDS) + "_" + r.choice(WORDS) + some("0123456789", 2),
+                lambda: r.choice(["", "/"]) + common(3, "/") + some("0123456789", 3) + ".html", lambda: common(3, "_") + some("0123456789", 2),
                 lambda: r.choice(["x", "0", "1", "a"]) * r.randint(16, 30) + "0", lambda: f"20{some('0123456789', 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T10.00.{r.randint(10, 59)}", lambda: word() + "." + word() + some("0123456789", 2) + ".example.com",
+                lambda: r.choice(["", r.choice(WORDS)]) + some(string.ascii_lowercase, r.randint(6, 12)), lambda: r.choice(["${%s}", "<%s>", "{{%s}}", "get(%s)", "%s[name]", "your-%s-here", "changeme%s"]) % f"{r.choice(WORDS)}_{r.choice(WORDS)}",
+                lambda: r.choice([some(string.ascii_lowercase, r.randint(16, 28)), "".join(w.capitalize() for w in common(5, " ").split()), word() + "-" + word() + "-" + some(string.ascii_lowercase, 12), common(4, "/")]), lambda: f"https://{word()}.example.com/{word()}/{some('0123456789', 3)}",
             ][shape]()
+            while len(value) < 16 and shape not in (8, 9):
+                value = r.choice(WORDS) + "_" + value
             if shape in (1, 2):
-                left = r.choice([f"{w} " for w in OTHERWISE] + [f"{w}: " for w in OTHERWISE] + [f'{w}="' for w in OTHERWISE])
+                left = r.choice([f"{w} " for w in OTHERWISE] + [f"{w}: " for w in OTHERWISE] + [f'{w}="' for w in OTHERWISE] + [f"{w}=" for w in OTHERWISE])
             elif shape in (4, 5):
-                left = r.choice([f'{r.choice(ANNOUNCE)} = "', f"{r.choice(ANNOUNCE)}: ", " "])
+                left = r.choice([f'{name} = "', f"{name}: ", f"{name}=", " "])
+            elif shape in (8, 9, 11):
+                left = r.choice(assigned)
+            elif shape == 10:
+                left = r.choice(["", "", " ", '"', f"{name} ", f"{r.choice(OTHERWISE)}: "])
             else:
-                left = r.choice(["", " ", '"', "/", f"{r.choice(OTHERWISE)} "])
+                left = r.choice(["", " ", '"', f"{r.choice(OTHERWISE)} ", f"{r.choice(OTHERWISE)}="])
         if r.random() < 0.25:
             value, left = value.upper(), left.upper()
         head = prose() + " " + left
-        text = head + value + ('"' if left.endswith('"') else "'" if left.endswith("'") else "") + " " + prose()
-        if (len(head), len(head) + len(value)) in candidates(text):
-            x.append(describe(text, len(head), len(head) + len(value)))
-            y.append(int(secret))
+        text = head + value + (right or ('"' if left.endswith('"') else "'" if left.endswith("'") else ")" if left.endswith("(") else r.choice(["", "", "", ","]))) + " " + prose()
+        assert (len(head), len(head) + len(value)) in candidates(text), text
+        x.append(describe(text, len(head), len(head) + len(value)))
+        y.append(int(secret))
     return np.array(x), np.array(y)
 
 
