@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.bytesio import LOWER, slices
-from pagemill.llm.spark import batch, cut, least_hashed
+from pagemill.llm.spark import batch, cut, session
 
 HASH_BITS = 14
 UNKNOWN = "und"
@@ -40,30 +40,40 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[ok].astype(np.int64), own[:-2][ok]
 
 
-def _counts(langs: list[str]):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << HASH_BITS))
-        for rows, data, off in slices(batches):
-            code, own = grams(data, off)
-            which = np.array([langs.index(x) for x in rows.column(rows.schema.get_field_index("lang")).to_pylist()])
-            np.add.at(total, (which[own], code), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["c"])
+_COUNTS = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
 
-    return run
 
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, np.ndarray] = {}
+    for rows, data, off in slices(batches):
+        code, own = grams(data, off)
+        names = rows.column(rows.schema.get_field_index("lang")).to_pylist()
+        langs = sorted(set(names))
+        which = np.searchsorted(langs, names)[own]
+        for i, x in enumerate(langs):
+            total[x] = total.get(x, 0) + np.bincount(code[which == i], minlength=1 << HASH_BITS)
+    for x, n in total.items():
+        at = np.flatnonzero(n)
+        yield batch({"lang": [x] * len(at), "code": at, "n": n[at]}, _COUNTS)
 
-def fit_text_model(docs: DataFrame, label: str = "lang", most: int = 4000, most_langs: int = 64) -> tuple[list[str], np.ndarray]:
-    """(languages, log P(trigram | language)) from at most ``most`` labelled rows (those of least id hash)."""
-    known = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = known.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("string").alias("lang"))
-    ids = cut(least_hashed(ids, "id", most, "lang").distinct())
-    seen = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+
+def fit_text_model(docs: DataFrame, label: str = "lang", each: int = 1000) -> tuple[list[str], np.ndarray]:
+    """(languages, log P(trigram | language)) of every language that labels a row with text.
+
+    The languages come from a grouped count over all rows. Of each, the rows of least hash are
+    learned from: all up to ``each`` rows, of more a share of ``each`` on average, one at least.
+    """
+    known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 1).alias("h"))
+    seen = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.when(F.col("n") <= each, F.lit((1 << 63) - 1)).otherwise(F.greatest("least", (F.lit(float(1 << 63)) * each / F.col("n")).cast("long"))).alias("most")).collect()
     langs = sorted(r["lang"] for r in seen)
     if not langs:
         return [], np.zeros((0, 1 << HASH_BITS), np.float32)
-    sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.where(F.col("lang").isin(langs))), F.col("doc_id") == F.col("id"))  # at most ``most`` ids
-    parts = sample.select("text", "lang").repartition(16).mapInArrow(_counts(langs), "c binary").agg(F.collect_list("c")).first()[0]
-    total = sum(np.frombuffer(p).reshape(len(langs), -1) for p in parts) + 0.5
+    below = session(docs).createDataFrame([(r["lang"], r["most"]) for r in seen], "lang string, most long")
+    sample = known.join(F.broadcast(below), "lang").where("h <= most").select("text", "lang")
+    counts = sample.repartition(16).mapInArrow(_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    total = np.full((len(langs), 1 << HASH_BITS), 0.5)
+    at = {x: i for i, x in enumerate(langs)}
+    total[[at[x] for x in counts["lang"].to_pylist()], counts["code"].to_numpy()] += counts["n"].to_numpy()
     return langs, np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -133,7 +143,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, host: Column,
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """documents: source is the host, lang the declaration; the text model learns from a bounded sample of them."""
+    """documents: source is the host, lang the declaration; the text model learns every language of them from a bounded sample of each."""
     return identify(docs, *fit_text_model(docs), F.col("source"), F.col("lang"), F.lit(None))
 
 
