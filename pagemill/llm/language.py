@@ -142,9 +142,9 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, host: Column,
     return post.select(F.col("doc_id").alias(key), F.when(kept, best).otherwise(UNKNOWN).alias("lang"), "probability", kept.alias("kept"))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """documents: source is the host, lang the declaration; the text model learns every language of them from a bounded sample of each."""
-    return identify(docs, *fit_text_model(docs), F.col("source"), F.col("lang"), F.lit(None))
+    return identify(docs, *fit_text_model(docs), F.col("source"), F.col("lang"), F.lit(None), key)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
