@@ -57,21 +57,23 @@ def join_texts(parts: DataFrame) -> DataFrame:
     return full.groupBy("doc_id", "page").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def nearest_ancestor(nodes: DataFrame, value: str, valid: Column | None = None, depth: int = 64) -> DataFrame:
+def nearest_ancestor(nodes: DataFrame, value: str, valid: Column | None = None, depth: int | None = None) -> DataFrame:
     """(id, parent, value) -> id, found: the value of the nearest ancestor or self that has one.
 
     Without ``valid`` the first node that has the value ends the walk; with it, values that
-    fail the test are passed over. Levels advance by joins on the parent and stop when
-    none is open, or at ``depth`` (a parent cycle finds nothing).
+    fail the test are passed over. Each round joins a node with what its pointer has seen and
+    doubles the levels it covers; it ends when none is open. A walk longer than there are
+    nodes is a parent cycle and finds nothing. ``depth`` bounds the rounds, if given.
     """
     from pagemill.plans.session import cut
 
     ok = F.col(value).isNotNull() if valid is None else F.col(value).isNotNull() & F.coalesce(valid, F.lit(False))
-    table = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_up"), F.when(ok, F.col(value)).alias("_v"))
-    state = nodes.select("id", F.col("parent").alias("up"), F.when(ok, F.col(value)).alias("found"))
-    for _ in range(depth):
-        if not (state := cut(state)).where("found is null and up is not null").take(1):
+    state = cut(nodes.select("id", F.col("parent").alias("up"), F.when(ok, F.col(value)).alias("found")))
+    rounds = state.count().bit_length()
+    for _ in range(rounds if depth is None else min(depth, rounds)):
+        if not state.where("found is null and up is not null").take(1):
             break
+        table = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("found").alias("_v"))
         j = state.join(table, (F.col("up") == F.col("_id")) & F.col("found").isNull(), "left")
-        state = j.select("id", F.when(F.col("found").isNull(), F.col("_up")).alias("up"), F.coalesce("found", "_v").alias("found"))
+        state = cut(j.select("id", F.when(F.col("found").isNull(), F.col("_up")).alias("up"), F.coalesce("found", "_v").alias("found")))
     return state.select("id", "found")

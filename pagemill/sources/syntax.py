@@ -404,21 +404,24 @@ class Document:
         return out
 
     def inherited(self, page: Ref, key: bytes, valid=None):
-        """The nearest value of a key up the parent chain (64 levels at most).
+        """The nearest value of a key up the parent chain, which ends where it comes back to a node.
 
         Without ``valid`` the first node that has the key decides, even if its value can't
         be resolved; with it, invalid values are passed over.
         """
-        node = self.get(page)
-        for _ in range(64):
-            if not isinstance(node, dict):
-                return None
+        node, seen = self.get(page), {page}
+        while isinstance(node, dict):
             if key in node:
                 value = self.get(node[key])
                 value = value if valid is None else valid(value)
                 if valid is None or value is not None:
                     return value
-            node = self.get(node.get(b"Parent"))
+            up = node.get(b"Parent")
+            if isinstance(up, Ref):
+                if up in seen:
+                    return None
+                seen.add(up)
+            node = self.get(up)
         return None
 
 
