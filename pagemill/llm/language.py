@@ -142,9 +142,9 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, host: Column,
     return post.select(F.col("doc_id").alias(key), F.when(kept, best).otherwise(UNKNOWN).alias("lang"), "probability", kept.alias("kept"))
 
 
-def identify_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def identify_documents(docs: DataFrame, key: str = "doc_id", model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """documents: source is the host, lang the declaration; the text model learns every language of them from a bounded sample of each."""
-    return identify(docs, *fit_text_model(docs), F.col("source"), F.col("lang"), F.lit(None), key)
+    return identify(docs, *(model or fit_text_model(docs)), F.col("source"), F.col("lang"), F.lit(None), key)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -159,3 +159,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def identify_pages(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     return identify(page_evidence(pages), langs, table, F.col("host"), F.col("declared"), F.col("suffix"), "page_id")
+
+
+def identify_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, lang, probability, kept, page_id: a row for each document (page_id is null) and each page (doc_id is null).
+
+    One text model, learned from the documents, serves both; the evidence of pages is their own.
+    """
+    model = fit_text_model(docs)
+    none = F.lit(None).cast("long")
+    found = identify_documents(docs, model=model).withColumn("page_id", none)
+    return found.unionByName(identify_pages(pages, *model).withColumn("doc_id", none))

@@ -58,9 +58,9 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagemill.llm.language import identify_documents
+    from pagemill.llm.language import identify_all
 
-    return identify_documents(_read(spark, sf_dir, "documents"))
+    return identify_all(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
 
 
 def op9_additive_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
