@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 from pagemill.llm.bytesio import prefix_hash, range_hash
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-REMEMBERED = 400_000
+#: Bytes of remembered pieces a worker holds at most, and what an entry takes besides its own bytes.
+REMEMBERED, ENTRY = 24 << 20, 220
 
 
 @lru_cache(1)
@@ -85,15 +86,23 @@ class Encoder:
                 k += 1
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, np.ndarray] = {}
+        self.forget()
 
-    def _ids(self, piece: bytes) -> np.ndarray:
+    def forget(self) -> None:
+        """Drop the remembered pieces (a worker outlives its task)."""
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _ids(self, piece: bytes) -> bytes:
         got = self.known.get(piece)
         if got is None:
-            got = np.array(self.merge._encode_single_piece(piece), np.int32)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = got
+            got = np.array(self.merge._encode_single_piece(piece), np.int32).tobytes()
+            cost = len(piece) + len(got) + ENTRY
+            if self.held + cost > REMEMBERED:
+                self.forget()
+            if cost <= REMEMBERED:
+                self.known[piece] = got
+                self.held += cost
         return got
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +116,8 @@ class Encoder:
         _, first, inverse = np.unique(range_hash(h, at, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
         ids = [self._ids(raw[a:b]) for a, b in zip(at[first].tolist(), end[first].tolist())]
-        size = np.array([len(x) for x in ids], np.int64) if ids else np.zeros(0, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         begin = np.cumsum(size) - size
         n = size[inverse]
         total = np.cumsum(n)

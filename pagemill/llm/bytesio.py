@@ -7,7 +7,9 @@ of neighbouring documents (one document is never split).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,33 @@ def _grow(n: int) -> None:
             _inverses = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, _INV, U64)]))
 
 
+def release() -> None:
+    """Give back what a task filled: the power tables of a long text, pooled and freed memory."""
+    global _powers, _inverses
+    if len(_powers) > 1 << 16:
+        _powers, _inverses = _powers[: 1 << 16].copy(), _inverses[: 1 << 16].copy()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """A batch function that leaves its reused worker as small as it found it; ``forget``: drop caches."""
+
+    @wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            release()
+
+    return whole
+
+
 def prefix_hash(data: np.ndarray, table: np.ndarray = _table) -> np.ndarray:
     """h[i]: hash of data[:i]; see range_hash."""
     _grow(len(data) + 1)

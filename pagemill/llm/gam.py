@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bytesio import SPACE, U64, mix, prefix_hash, range_hash, slices, words
+from pagemill.llm.bytesio import SPACE, U64, mix, prefix_hash, range_hash, slices, tidy, words
 from pagemill.llm.spark import batch, cut, least_hashed, runs
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "punctuation", "wide", "blank", "line_length", "dup_lines", "distinct_words", "top_word", "entropy", "end_stops", "long_words", "repeat_windows")
@@ -216,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int
     row each; a row without doc_id is scored, and held out (null fold counts as such).
     With no usable labels every score is 0.5.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, x array<double>"))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_features), "doc_id long, x array<double>"))
     model = train(rows, labels, most, label)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

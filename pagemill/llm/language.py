@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bytesio import LOWER, slices
+from pagemill.llm.bytesio import LOWER, slices, tidy
 from pagemill.llm.spark import batch, cut, session
 
 HASH_BITS = 14
@@ -70,7 +70,7 @@ def fit_text_model(docs: DataFrame, label: str = "lang", each: int = 1000) -> tu
         return [], np.zeros((0, 1 << HASH_BITS), np.float32)
     below = session(docs).createDataFrame([(r["lang"], r["most"]) for r in seen], "lang string, most long")
     sample = known.join(F.broadcast(below), "lang").where("h <= most").select("text", "lang")
-    counts = sample.repartition(16).mapInArrow(_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    counts = sample.repartition(16).mapInArrow(tidy(_counts), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     total = np.full((len(langs), 1 << HASH_BITS), 0.5)
     at = {x: i for i, x in enumerate(langs)}
     total[[at[x] for x in counts["lang"].to_pylist()], counts["code"].to_numpy()] += counts["n"].to_numpy()
@@ -82,7 +82,7 @@ _TEXT = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("declared", p
 
 def _likelihood(table: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, off in slices(batches):
+        for rows, data, off in slices(batches, most=1 << 20):
             code, own = grams(data, off)
             n = np.bincount(own, minlength=rows.num_rows)
             mean = np.stack([np.bincount(own, weights=t[code], minlength=rows.num_rows) for t in table], 1) / np.maximum(n, 1)[:, None]
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, host: Column,
     if not k:
         return src.select(F.col("doc_id").alias(key), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"))
     src = src.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "declared", "suffix")})
-    rows = cut(src.mapInArrow(_likelihood(table), "doc_id long, host string, declared string, suffix string, n_grams long, ll array<double>"))
+    rows = cut(src.mapInArrow(tidy(_likelihood(table)), "doc_id long, host string, declared string, suffix string, n_grams long, ll array<double>"))
     sure = rows.where("n_grams > 0").withColumn("p", _posterior(F.col("ll")))
     by_host = cut(_sums(sure, ["suffix", "host", "declared"], k))
     add = lambda df, keys: df.groupBy(*keys).agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(k)]).select(*keys, F.array(*[f"c{i}" for i in range(k)]).alias("c"))

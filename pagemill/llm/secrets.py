@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.bytesio import tidy
 from pagemill.llm.spark import batch
 
 #: Fixed word lists: names that announce a credential, names that announce something else, parts of ordinary identifiers.
@@ -250,7 +251,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
                 rows = [(d, s, e - s, p, p >= threshold) for d, f in zip(part.column(0).to_pylist(), found) for s, e, p in f]
                 yield batch({n: [r[i] for r in rows] for i, n in enumerate(_FOUND.names)}, _FOUND)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, probability double, is_secret boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, start long, length long, probability double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
@@ -272,4 +273,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
                 columns = [pa.array(out, b.schema.field(where).type) if i == where else part.column(i) for i in range(len(b.schema.names))]
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

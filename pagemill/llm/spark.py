@@ -20,24 +20,42 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def part_count(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Parts for a keyed exchange of packed rows: grows with the input, so that a part stays a few MB."""
-    conf = int(session(df).conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """The size of a frame of texts: Catalyst's estimate, or a sum over the rows where it has none (2^63 then)."""
     size = input_bytes(df)
-    return max(4 * conf, min(200_000, size // bytes_each if size < 1 << 50 else 0))  # Catalyst says 2^63 where it does not know
+    return size if size < 1 << 60 else int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")) + 16)).first()[0] or 0)
 
 
-def _has_folder(spark: SparkSession) -> bool:
-    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+def part_count(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+    """Parts for a keyed exchange of packed rows: grows with the input, so that a part stays a few MB."""
+    conf = int(session(df).conf.get("spark.sql.shuffle.partitions"))
+    return max(4 * conf, text_bytes(df) // bytes_each)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where a test left it unset."""
-    sc = spark.sparkContext._jsc.sc()
+    """The folder all executors share, as a full URI: spark.checkpoint.dir of the session.
+
+    Where it is unset, a local session (a test, a trial) takes the context's checkpoint
+    folder or a temporary one; on a cluster that is an error, as no folder of one machine will do.
+    """
+    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not sc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-"))
-    return named or sc.getCheckpointDir().get()
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="pagemill-")
+        sc.setCheckpointDir(named)
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def removed_at_end(spark: SparkSession, path: str) -> str:
+    """The path, which is deleted when the session ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,10 +65,9 @@ def cut(df: DataFrame) -> DataFrame:
     It goes when the session ends.
     """
     spark = session(df)
-    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    removed_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

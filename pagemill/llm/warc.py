@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.spark import cut, shared_folder
+from pagemill.llm.bytesio import tidy
+from pagemill.llm.spark import cut, removed_at_end, shared_folder
 from pagemill.llm.suffix_dedup import ddl
 
 #: Fixed values of the seekable format.
@@ -217,25 +218,24 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, frame_by
     html = F.col("html").cast("string")
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).where("page_id is not null")
     typed = src.join(again, (F.col("page_id") == F.col("id")) & (F.sha1(F.coalesce("html", F.lit("")).cast("binary")) == F.col("of")), "left").select("page_id", "url", "html", "refers_to")
-    return cut(typed.mapInArrow(_write(folder, frame_bytes, bundle_bytes), ddl(_INDEX)))
+    return cut(typed.mapInArrow(tidy(_write(folder, frame_bytes, bundle_bytes)), ddl(_INDEX)))
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The indexed records, read from their frames; a record is checked against its digest and length."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = index.repartition(4 * n, "bundle", F.floor(F.col("frame_start") / (8 << 20))).sortWithinPartitions("bundle", "frame_start", "offset")
-    return near.mapInArrow(_read(folder), ddl(_RECORD))
+    return near.mapInArrow(tidy(_read(folder)), ddl(_RECORD))
 
 
 def new_folder(spark) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    """A folder of its own for a run's bundles, as a full URI; it goes when the session ends."""
+    return removed_at_end(spark, f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to a new folder of the shared one and read them back."""
     folder = new_folder(pages.sparkSession)
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
     return read_archives(write_archives(pages, folder), folder)
 
 
