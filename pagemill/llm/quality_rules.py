@@ -1,7 +1,8 @@
 """Quality rules in DataFrame expressions: text measures and cross-document line frequency.
 
-Every measure is computed inside its row. Only line hashes cross the network:
-(host, line) counts are pre-aggregated, and the lines of a frequent pair come
+Every measure is computed inside its row, once: measures and line hashes are
+written to a table, and what follows reads its columns. Only line hashes cross the
+network: (host, line) counts are pre-aggregated, and the lines of a frequent pair come
 back through a join whose hot keys Spark may split.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.spark import cut
+
 #: Characters that separate words, and their class in a pattern.
 BLANKS = " \t\n\x0b\f\r"
 BLANK = r"[\x20\x09-\x0D]"
@@ -48,7 +51,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, host, the measures of each text, its distinct normalised lines and their sizes."""
+    """doc_id, host, the measures of each text; two hashes and the size of each distinct normalised line."""
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text.alias("text"))
     d = d.withColumn("words", split_words(F.col("text"))).withColumn("lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
@@ -59,7 +62,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.array_distinct(F.transform("lines", lambda x: normalised(x))).alias("norm"),
+        F.transform(F.array_distinct(F.transform("lines", lambda x: normalised(x))), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"), F.length(x).alias("size"))).alias("norm"),
     )
 
 
@@ -76,15 +79,14 @@ def apply_rules(docs: DataFrame, most_docs: int = 50, least_left: int = 30) -> D
     less than ``least_left`` percent of the characters of its distinct lines
     is depleted. ``kept`` is false where the base rule fails or the document is
     depleted. Null text has no words; a null source is the host ''. A repeated row
-    counts as another document and is judged for itself; other columns are
-    not read.
+    counts as another document and is judged for itself (a row without doc_id loses
+    no lines); other columns are not read.
     """
-    m = measures(docs)
-    lines = m.where("n_words > 0").select("doc_id", "host", F.explode("norm").alias("line")).select("doc_id", "host", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), F.length("line").alias("size"))
+    m = cut(measures(docs).withColumn("row", F.monotonically_increasing_id()))
+    lines = m.where("n_words > 0").select("row", "doc_id", "host", F.inline("norm"))
     often = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > most_docs).drop("n")
-    gone = lines.join(often, ["host", "h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.sum("size").alias("gone")).select(F.col("doc_id").alias("id"), "gone")
-    size = F.aggregate("norm", F.lit(0), lambda acc, x: acc + F.length(x))
-    out = m.withColumn("size", size).drop("norm").join(gone, F.col("doc_id") == F.col("id"), "left")
+    gone = lines.join(often, ["host", "h1", "h2"]).where("doc_id > first").groupBy("row").agg(F.sum("size").alias("gone"))
+    out = m.withColumn("size", F.aggregate("norm", F.lit(0).cast("long"), lambda acc, x: acc + x["size"])).drop("norm").join(gone, "row", "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = 100 * (F.col("size") - F.coalesce("gone", F.lit(0))) >= least_left * F.col("size")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & left).alias("kept"))
