@@ -1,8 +1,9 @@
 """Packing of documents into token sequences along a space-filling curve.
 
 A document's hashed byte-trigram vector is projected to three normal
-coordinates; their Hilbert key places like documents near each other. Documents
-are range-sorted by that key, and each range is laid end to end and cut at the
+coordinates; their Hilbert key places like documents near each other. Keys and
+texts are written once; a grouped sum over cells of the curve then cuts it into
+ranges of like size. Documents are sorted along each range, laid end to end and cut at the
 sequence length, so only the last sequence of a range has padding.
 """
 
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.bpe import encoder
-from pagemill.llm.bytesio import U64, ids_of, mix, slices
-from pagemill.llm.spark import batch, input_bytes
+from pagemill.llm.bytesio import U64, ids_of, mix, slices, tidy
+from pagemill.llm.spark import batch, cut
 from pagemill.llm.suffix_dedup import ddl
 
 BITS, DIMS = 10, 3
+#: Cells of the curve that are weighed: what the driver reads has 2^CELL_BITS rows at most.
+CELL_BITS = 15
+LARGE_RANGE = 8 << 20
+_KEYED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64()), ("key", pa.int64()), ("salt", pa.int64())])
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -80,12 +85,11 @@ def vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("salt", pa.int64())])
-    for rows, data, off in slices(batches):
+    for rows, data, off in slices(batches, most=1 << 20):
         v = np.minimum((vectors(data, off) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
         ids = rows.column(rows.schema.get_field_index("doc_id")).cast(pa.int64())
         salt = mix(ids_of_filled(ids).astype(U64)).view(np.int64)
-        yield batch({"doc_id": ids, "text": rows.column(rows.schema.get_field_index("text")).cast(pa.string()), "key": hilbert(v, BITS), "salt": salt}, schema)
+        yield batch({"doc_id": ids, "text": rows.column(rows.schema.get_field_index("text")).cast(pa.string()), "size": np.diff(off) + 1, "key": hilbert(v, BITS), "salt": salt}, _KEYED)
 
 
 def ids_of_filled(ids: pa.Array) -> np.ndarray:
@@ -122,17 +126,42 @@ def _pack(path: str, length: int, end_id: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, bytes_each: int = 4 << 20) -> DataFrame:
+def range_table(weights: list[tuple[int, int]], bytes_each: int) -> list[tuple[int, int, int]]:
+    """(cell, first range, how many ranges it reaches over) of cells in curve order."""
+    out, at = [], 0
+    for cell, size in sorted(weights):
+        out.append((cell, at // bytes_each, (at + size - 1) // bytes_each - at // bytes_each + 1))
+        at += size
+    return out
+
+
+def ranged(keyed: DataFrame, bytes_each: int) -> DataFrame:
+    """Rows of (key, salt, size, ...) dealt into ranges of some ``bytes_each`` along the curve, sorted within.
+
+    The weights of the 2^CELL_BITS cells of the curve come from one grouped sum; so what
+    the driver holds has a fixed bound, at every input size. A cell that reaches over more
+    than one range is dealt by salt. Ranges below LARGE_RANGE are no more than the session's partitions.
+    """
+    cell = F.shiftright("key", BITS * DIMS - CELL_BITS).cast("int")
+    weights = keyed.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).collect()
+    each = max(bytes_each, min(LARGE_RANGE, -(-sum(r["size"] for r in weights) // int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    deal = range_table([(r["cell"], r["size"]) for r in weights], each)
+    n = deal[-1][1] + deal[-1][2] if deal else 1
+    where = F.broadcast(keyed.sparkSession.createDataFrame(deal, "cell int, first long, many long"))
+    dealt = keyed.withColumn("cell", cell).join(where, "cell").withColumn("range", F.col("first") + F.pmod("salt", "many"))
+    return dealt.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "key", "salt")
+
+
+def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, bytes_each: int = LARGE_RANGE) -> DataFrame:
     """Pieces of documents in sequences of ``length`` ids.
 
     Every id of every document lies in exactly one piece; a document ends with
     ``end_id``; a null or empty text is that id alone. A sequence has no gaps, and
-    only the last of each range (of about ``bytes_each`` of text or more) is not
+    only the last of each range (of about ``bytes_each`` of text) is not
     full. Repeated rows are packed once each; a row without doc_id is packed
-    with a null doc_id. Other columns are not read.
+    with a null doc_id. Equal keys (copies) are told apart by a salt of doc_id, so a group of
+    copies of any size is split. Other columns are not read.
     """
-    spark = docs.sparkSession
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // bytes_each + 1))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_key, "doc_id long, text string, key long, salt long")
-    ranged = keyed.repartitionByRange(n, "key", "salt").sortWithinPartitions("key", "salt")
-    return ranged.select("doc_id", "text").mapInArrow(_pack(path, length, end_id), ddl(_PIECE))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = cut(src.mapInArrow(tidy(_key), ddl(_KEYED)))
+    return ranged(keyed, bytes_each).select("doc_id", "text").mapInArrow(tidy(_pack(path, length, end_id), lambda: encoder(path).forget()), ddl(_PIECE))
