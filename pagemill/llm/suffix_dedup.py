@@ -1,23 +1,24 @@
-"""Exact removal of repeated passages by a prefix-free parse and suffix order.
-
-Rolling-hash triggers cut every text into phrases (winnow.phrases): each window
-start belongs to the phrase of its trigger, and equal windows have equal
-triggers. The dictionary is the set of distinct phrases, each with the
-``width - 1`` bytes that follow it; the parse is the list of phrases in
-(doc_id, start) order.
-
-1. Phrases meet at their trigger. Of equal phrases only the first in the parse
-   can hold first occurrences: all windows of the others are repeats.
-2. Where a trigger has several different phrases, their windows are put in
-   suffix order (prefix doubling to depth ``width``); equal neighbours are the
-   same string and the least (doc_id, start) is its first occurrence. A trigger
+"""Exact removal of repeated passages by prefix-free parsing and suffix order.
+
+1. A block of texts is put in corpus order by prefix-free parsing (pfp.py: dictionary
+   of phrases, its suffix array, that of the parse, both combined). Neighbours that share
+   ``width`` bytes are one string; all its places in the block but the first are
+   repeats, and go no further.
+2. What is left meets across blocks. Each window start belongs to the phrase of its
+   trigger, the least gram hash in its window (winnow.py), so equal windows have
+   equal triggers wherever they stand. Phrases meet at their trigger, one row a
+   block at most for equal ones; of equal phrases only the first can hold first occurrences.
+3. Where a trigger has several different phrases, their windows are put in
+   corpus order, again by prefix-free parsing, and the least (doc_id, start) of
+   equal neighbours is the first occurrence. A trigger
    with very many different phrases (neighbours of a passage that a third of the
    corpus holds) is spread over parts, each part keeps its first occurrences,
    and these meet once more, a row for each window, in a partial aggregation.
-3. Spans are gathered per document and cut out.
+4. Spans are gathered per document and cut out.
 
 What crosses the network is hashes and positions, in packed arrays; text moves
-only to documents' own rows.
+only to documents' own rows. Phrases are told apart by 64 bits of hash (those of a trigger
+also by 48 bits of its hash), windows of a spread trigger by 128 bits.
 """
 
 from __future__ import annotations
@@ -31,18 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bytesio import U64, ids_of, mix, prefix_hash, range_hash, slices
+from pagemill.llm.bytesio import U64, ids_of, mix, prefix_hash, range_hash, slices, tidy
+from pagemill.llm.pfp import repeated
 from pagemill.llm.spark import batch, cut, joined, part_count, runs, table
 from pagemill.llm.winnow import phrases
 
-_A = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("key", pa.binary()), ("content", pa.binary()), ("doc", pa.binary()), ("lo", pa.binary()), ("len", pa.binary())])
-_B = pa.schema([("block", pa.int64()), ("doc", pa.binary()), ("lo", pa.binary()), ("len", pa.binary()), ("kind", pa.binary())])
+_A = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("key", pa.binary()), ("content", pa.binary()), ("doc", pa.binary()), ("lo", pa.binary()), ("len", pa.binary()), ("local", pa.binary())])
+_B = pa.schema([("block", pa.int64()), ("doc", pa.binary()), ("lo", pa.binary()), ("len", pa.binary()), ("kind", pa.binary()), ("local", pa.binary())])
 _C = pa.schema([("doc_id", pa.int64()), ("repeats", pa.binary()), ("border", pa.binary())])
 _D = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 _E = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 _SPAN = np.dtype([("lo", "<u4"), ("n", "<u4")])
 _BORDER = np.dtype([("lo", "<u4"), ("n", "<u2"), ("hot", "<u2")])
+_LOCAL = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("n", "<u4")])
 REPEAT, BORDER, HOT = 1, 2, 3
+#: Bytes of text that are ordered together.
+BLOCK = 1 << 20
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -50,22 +55,44 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
 
 
+def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of set flags."""
+    edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def _parse(parts: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for rows, data, off in slices(batches):
+        for rows, data, off in slices(batches, most=BLOCK):
             block += 1
+            ids = ids_of(rows)
+            again = repeated(data, off, np.unique(ids, return_inverse=True)[1], np.zeros(len(ids), np.int64), width)
             first, last, owner, key = phrases(data, off, width)
             if not len(first):
                 continue
+            fresh = np.append(0, np.cumsum(~again))
+            fresh = fresh[last + 1] > fresh[first]
+            first, last, owner, key = first[fresh], last[fresh], owner[fresh], key[fresh]
             content = range_hash(prefix_hash(data), first, last + width)
             part = (key >> U64(33)) % U64(parts)
             order = np.argsort(part.astype(np.int64), kind="stable")
             part = part[order]
             at = runs(part)
             ends = np.append(at[1:], len(part))
-            cols = [key[order].view(np.uint16).reshape(-1, 4)[:, :3], content[order], ids_of(rows)[owner][order], (first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
-            yield batch({"part": part[at].astype(np.int32), "block": np.full(len(at), block)} | {name: [c[i:j].tobytes() for i, j in zip(at, ends)] for name, c in zip(("key", "content", "doc", "lo", "len"), cols)}, _A)
+            cols = [key[order].view(np.uint16).reshape(-1, 4)[:, :3], content[order], ids[owner][order], (first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
+            out = {"part": part[at].astype(np.int32).tolist(), "block": [block] * len(at), "local": [None] * len(at)} | {name: [c[i:j].tobytes() for i, j in zip(at, ends)] for name, c in zip(("key", "content", "doc", "lo", "len"), cols)}
+            lo, hi = runs_of(again)
+            if len(lo):
+                own = np.searchsorted(off, lo, "right") - 1
+                spans = np.zeros(len(lo), _LOCAL)
+                spans["doc"], spans["lo"], spans["n"] = ids[own], lo - off[own], hi - lo
+                out["part"].append(int(mix(np.array([block], U64))[0] >> U64(33)) % parts)
+                out["block"].append(block)
+                out["local"].append(spans.tobytes())
+                for name in ("key", "content", "doc", "lo", "len"):
+                    out[name].append(b"")
+            yield batch(out, _A)
 
     return run
 
@@ -107,16 +134,24 @@ def _meet(hot: int):
             m = np.flatnonzero(kind[i:j]) + i
             if len(m):
                 out["block"].append(b)
+                out["local"].append(None)
                 for name, x in (("doc", doc), ("lo", lo), ("len", size), ("kind", kind)):
                     out[name].append(x[m].tobytes())
+        passed = tbl.filter(tbl.column("local").is_valid())
+        out["block"] += passed.column("block").to_pylist()
+        out["local"] += passed.column("local").to_pylist()
+        for name in ("doc", "lo", "len", "kind"):
+            out[name] += [b""] * passed.num_rows
         return table(out, _B)
 
     return run
 
 
 def _by_document(tbl: pa.Table) -> pa.Table:
-    """Marked phrases of a block, gathered per document; neighbouring repeats become one span."""
+    """What is marked in a block, gathered per document; neighbouring repeats become one span."""
     doc, lo, size, kind = joined(tbl, "doc", np.int64), joined(tbl, "lo", np.uint32).astype(np.int64), joined(tbl, "len", np.uint8).astype(np.int64), joined(tbl, "kind", np.uint8)
+    local = joined(tbl, "local", _LOCAL)
+    doc, lo, size, kind = np.append(doc, local["doc"]), np.append(lo, local["lo"]), np.append(size, local["n"]), np.append(kind, np.full(len(local), REPEAT, np.uint8))
     o = np.lexsort((lo, doc))
     doc, lo, size, kind = doc[o], lo[o], size[o], kind[o]
     at = runs(doc)
@@ -166,65 +201,28 @@ def _border_bytes(parts: int, width: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, ok: np.ndarray, depth: int) -> np.ndarray:
-    """Dense ranks of data[i:i+depth] by prefix doubling, at each i for which ok[i] bytes remain (else -1)."""
-    n = len(data)
-    rank = data.astype(np.int64)
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        at = np.flatnonzero(ok >= have + step)
-        if have + step <= 4:  # small alphabets need no sort
-            pair = rank[at] << (8 * step) | (rank[at + step] if step == have else 0)
-            full = np.full(n, -1, np.int64)
-            full[at] = pair
-            rank, have = full, have + step
-            continue
-        pair = rank[at] << 32 | rank[at + step]
-        o = np.argsort(pair, kind="stable")
-        s = pair[o]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        full = np.full(n, -1, np.int64)
-        full[at[o]] = np.cumsum(new) - 1
-        rank, have = full, have + step
-    return rank
-
-
-def _suffix_order(width: int):
+def _corpus_order(width: int):
+    """Repeats among the phrases of a part, by corpus order; first occurrences of spread triggers go on."""
+
     def run(tbl: pa.Table) -> pa.Table:
         pieces = tbl.column("bytes").to_pylist()
         doc, lo = tbl.column("doc_id").to_numpy().astype(np.int64), tbl.column("lo").to_numpy().astype(np.int64)
         hot = tbl.column("hot").to_numpy(zero_copy_only=False).astype(bool)
-        size = np.array([len(x) for x in pieces])
+        off = np.append(0, np.cumsum([len(x) for x in pieces])).astype(np.int64)
         data = np.frombuffer(b"".join(pieces), np.uint8)
-        begin = np.cumsum(size) - size
-        ok = np.repeat(begin + size, size) - np.arange(len(data))
-        rank = suffix_ranks(data, ok, width)
-        at = np.flatnonzero(ok >= width)
-        own = np.searchsorted(begin, at, "right") - 1
-        start = lo[own] + at - begin[own]
-        o = np.lexsort((start, doc[own], rank[at]))
-        r = rank[at][o]
-        lead = np.repeat(runs(r), np.diff(np.append(runs(r), len(r))))
-        d, s = doc[own][o], start[o]
-        first = (d == d[lead]) & (s == s[lead])
-        # repeats inside this part, as runs of starts
-        dd, ss = d[~first], s[~first]
-        k = np.lexsort((ss, dd))
-        dd, ss = dd[k], ss[k]
-        new = np.ones(len(dd), bool)
-        new[1:] = (dd[1:] != dd[:-1]) | (ss[1:] > ss[:-1] + 1)
-        b = np.flatnonzero(new)
-        e = np.append(b[1:], len(dd)) - 1 if len(b) else b
-        # first occurrences at a spread trigger meet again
-        up = first & hot[own[o]]
-        h = prefix_hash(data)
-        w = at[o][up]
-        h1 = range_hash(h, w, w + width)
-        h2 = mix(rank_free_hash(data, w, width))
-        zeros = np.zeros(len(b), np.int64)
-        return table({"doc_id": np.append(dd[b], d[up]), "lo": np.append(ss[b], s[up]), "n": np.append(ss[e] - ss[b] + 1 if len(b) else zeros, np.zeros(int(up.sum()), np.int64)), "h1": np.append(zeros, h1.view(np.int64)), "h2": np.append(zeros, h2.view(np.int64))}, _E)
+        del pieces
+        again = repeated(data, off, np.unique(doc, return_inverse=True)[1], lo, width)
+        b, e = runs_of(again)
+        own = np.searchsorted(off, b, "right") - 1
+        out = {"doc_id": doc[own], "lo": lo[own] + b - off[own], "n": e - b, "h1": np.zeros(len(b), np.int64), "h2": np.zeros(len(b), np.int64)}
+        if hot.any():
+            size = np.diff(off)
+            up = np.repeat(hot, size) & ~again & (np.arange(len(data)) + width <= np.repeat(off[1:], size))
+            w = np.flatnonzero(up)
+            own = np.searchsorted(off, w, "right") - 1
+            h = range_hash(prefix_hash(data), w, w + width).view(np.int64), mix(rank_free_hash(data, w, width)).view(np.int64)
+            out = {name: np.append(out[name], x) for name, x in zip(_E.names, (doc[own], lo[own] + w - off[own], np.zeros(len(w), np.int64), *h))}
+        return table(out, _E)
 
     return run
 
@@ -277,10 +275,10 @@ def repeated_spans(docs: DataFrame, width: int = 100, hot: int = 1000) -> tuple[
     """(spans of whole repeated phrases, spans of single repeated windows): doc_id, packed spans of window starts."""
     parts = part_count(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    met = src.mapInArrow(_parse(parts, width), ddl(_A)).groupBy("part").applyInArrow(_meet(hot), ddl(_B))
+    met = src.mapInArrow(tidy(_parse(parts, width)), ddl(_A)).groupBy("part").applyInArrow(_meet(hot), ddl(_B))
     per_doc = cut(met.groupBy("block").applyInArrow(_by_document, ddl(_C)))
     border = per_doc.where("border is not null").select("doc_id", "border")
-    ordered = cut(src.join(border, "doc_id").mapInArrow(_border_bytes(parts, width), ddl(_D)).groupBy("part").applyInArrow(_suffix_order(width), ddl(_E)))
+    ordered = cut(src.join(border, "doc_id").mapInArrow(tidy(_border_bytes(parts, width)), ddl(_D)).groupBy("part").applyInArrow(_corpus_order(width), ddl(_E)))
     once = ordered.where("n = 0").select("doc_id", "lo", "h1", "h2")
     least = once.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("m")).where("m > 1").select("h1", "h2", "f")
     again = once.join(least, ["h1", "h2"]).where("doc_id <> f.doc_id or lo <> f.lo").select("doc_id", "lo", F.lit(1).cast("long").alias("n"))
@@ -314,4 +312,4 @@ def dedup(docs: DataFrame, width: int = 100, hot: int = 1000, text_out: bool = F
     schema = pa.schema([*kept, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("text", pa.string())] if text_out else [])])
     types = {f.name: src.schema[f.name].dataType.simpleString() if f.name in keep else None for f in schema}
     out = ", ".join(f"`{f.name}` {types[f.name] or ('string' if f.type == pa.string() else 'long')}" for f in schema)
-    return src.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(_cut_out(width, keep, schema, text_out), out)
+    return src.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(tidy(_cut_out(width, keep, schema, text_out)), out)
