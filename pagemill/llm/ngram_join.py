@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of documents on word shingles, by T-occurrence search.
+"""Jaccard self-join of documents on word shingles, by T-occurrence search.
 
 The answer is one component id per document, so no group of copies is expanded
 into its pairs:
@@ -9,18 +9,24 @@ into its pairs:
    most; a document with fewer than 3/4 of its shingles shared has no partner
    and stops here. Most do.
 3. Classes that agree on a minimum over their shared shingles are compared with
-   two pivots of that group (a linear number of pairs) and linked where the
+   the pivot of that group (a linear number of pairs) and linked where the
    exact overlap suffices. Most true links end inside one component this way.
 4. What is left is found exactly. In the order "unshared first, then rare ones, then by hash",
    two linked classes share a shingle within their prefixes (n - ceil(0.75 n) + 1
    long; rarer shingles come before commoner ones). Prefix lists that lie in one component need no more work. The others
    tie their members into cells, and in each cell a T-occurrence search
-   (DivideSkip: merge of short lists, binary probes into long ones) runs
-   between different components. A large cell is dealt out as pairs of blocks.
+   (DivideSkip: heap merge of short lists, binary probes into long ones) runs
+   between different components. A cell of more than a block is searched by pairs of
+   its blocks or by its prefix lists, whichever needs fewer copies of its sets.
+
+Shingles are told apart by 48 bits of their hash and up to 10 bits of their part (64 bits
+within a block); sets by 128 bits and their size.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,12 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bytesio import LOWER, U64, ids_of, mix, prefix_hash, range_hash, slices, words
+from pagemill.llm.bytesio import LOWER, U64, ids_of, mix, prefix_hash, range_hash, slices, tidy, words
 from pagemill.llm.components import components
-from pagemill.llm.spark import batch, cut, joined, part_count, runs, table
+from pagemill.llm.spark import batch, cut, input_bytes, joined, part_count, runs, table
 from pagemill.llm.suffix_dedup import ddl
 
 SEEDS = 4
+#: Bytes of text whose shingles are announced together.
+BLOCK = 2 << 20
+#: Lists that one step of the heap merges, and long lists that are probed together.
+FAN, PROBED = 16, 64
 _ODD = mix(np.arange(1, 33, dtype=U64)) | U64(1)
 _MAP = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
 _SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.binary())])
@@ -79,16 +89,31 @@ def narrow(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return h & U64(0xFFFFFFFFFFFF) | part.astype(U64) << U64(48)
 
 
+_FORMS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
 def tally(doc: np.ndarray, n: int) -> np.ndarray:
-    """Ascending document numbers below n as counts, in one byte each where they fit; the first byte is the width."""
+    """Ascending document numbers below n in the shorter of two forms, after a head of 5 bytes (form, n).
+
+    Differences (form 1, 2 or 4: bytes each), or how often each number comes (form 11, 12 or 14).
+    """
     count = np.bincount(doc, minlength=n)
-    kind = np.uint8 if count.max(initial=0) < 256 else np.uint32
-    return np.frombuffer(bytes([kind().itemsize]) + count.astype(kind).tobytes(), np.uint8)
+    step = np.diff(doc.astype(np.int64), prepend=0)
+    fit = lambda x: next(k for k in _FORMS if x.max(initial=0) < 1 << 8 * k)
+    c, d = fit(count), fit(step)
+    form, body = (d, step.astype(_FORMS[d])) if d * len(step) < c * n else (10 + c, count.astype(_FORMS[c]))
+    return np.frombuffer(bytes([form]) + n.to_bytes(4, "little") + body.tobytes(), np.uint8)
 
 
 def untally(packed: bytes) -> np.ndarray:
-    count = np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1)
-    return np.repeat(np.arange(len(count), dtype=np.int64), count)
+    form = packed[0]
+    x = np.frombuffer(packed, _FORMS[form % 10], offset=5).astype(np.int64)
+    return np.repeat(np.arange(len(x)), x) if form > 10 else np.cumsum(x)
+
+
+def tallied(packed: bytes) -> int:
+    """The n of a tally."""
+    return int.from_bytes(packed[1:5], "little")
 
 
 def least_shared(n):
@@ -103,7 +128,7 @@ def linked(inter, n_a, n_b):
 def _shingle(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for rows, data, off in slices(batches):
+        for rows, data, off in slices(batches, most=BLOCK):
             block += 1
             ids = ids_of(rows)
             h, o = shingle_sets(data, off)
@@ -156,7 +181,7 @@ def _share(tbl: pa.Table) -> pa.Table:
     part = tbl.take(pa.array(rows, pa.int64()))
     docs = [untally(x) for x in part.column("doc").to_pylist()]
     doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    announced = np.concatenate([d == (len(x) - 1) // x[0] - 1 for d, x in zip(docs, part.column("doc").to_pylist())]) if docs else np.zeros(0, bool)
+    announced = np.concatenate([d == tallied(x) - 1 for d, x in zip(docs, part.column("doc").to_pylist())]) if docs else np.zeros(0, bool)
     ends = np.cumsum([len(d) for d in docs]).astype(np.int64)
     wide = np.zeros((len(doc), 4), np.uint16)
     wide[:, :3] = joined(part, "key", np.uint16).reshape(-1, 3)
@@ -176,7 +201,7 @@ def _share(tbl: pa.Table) -> pa.Table:
     for b, i, j in zip(part.column("block").to_pylist(), at[:-1], at[1:]):
         m = np.flatnonzero(hit[i:j] & ~announced[i:j]) + i
         if len(m):
-            for name, x in (("block", b), ("kind", ENTRY), ("key", key[m].tobytes()), ("doc", tally(doc[m], 1).tobytes())):
+            for name, x in (("block", b), ("kind", ENTRY), ("key", key[m].tobytes()), ("doc", tally(doc[m], int(doc[m].max()) + 1).tobytes())):
                 out[name].append(x)
         m = np.flatnonzero(announced[i:j]) + i
         if len(m):  # how common the shingles are that the block knows to be shared
@@ -217,18 +242,19 @@ class Lists:
         flat = np.concatenate(tokens)
         own = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
         order = np.argsort(flat, kind="stable")
-        self.docs = own[order]
         at = runs(flat[order])
         size = np.diff(np.append(at, len(flat)))
         many = size > 1  # a token of one document meets nobody
-        self.token, self.at, self.size = flat[order][at[many]], at[many], size[many]
+        self.docs, self.token, self.at, self.size = own[order], flat[order][at[many]], at[many], size[many]
+        self.span = len(tokens)
 
     def of(self, query: np.ndarray) -> np.ndarray:
-        """Numbers of the lists of a query's tokens."""
+        """Numbers of the lists of a query's tokens, the shortest first."""
         if not len(self.token):
             return np.zeros(0, np.int64)
         k = np.minimum(np.searchsorted(self.token, query), len(self.token) - 1)
-        return k[self.token[k] == query]
+        k = k[self.token[k] == query]
+        return k[np.argsort(self.size[k], kind="stable")]
 
     def gather(self, lists: np.ndarray) -> np.ndarray:
         size = self.size[lists]
@@ -236,38 +262,53 @@ class Lists:
         return self.docs[np.repeat(self.at[lists] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
 
 
+def heap_merge(lists: list[np.ndarray]) -> np.ndarray:
+    """One ascending run of all ascending lists: the shortest FAN of a heap are merged and put back until one is left."""
+    heap = [(len(x), k, x) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        some = [heapq.heappop(heap) for _ in range(min(FAN, len(heap)))]
+        merged = np.sort(np.concatenate([x for _, _, x in some]), kind="stable")  # a stable sort merges the runs it finds
+        heapq.heappush(heap, (len(merged), some[0][1], merged))
+    return heap[0][2] if heap else np.zeros(0, np.int64)
+
+
 def divide_skip(index: Lists, query: np.ndarray, least: int, before: int) -> list[tuple[int, int]]:
     """(document, overlap) for each document < before that holds at least ``least`` of the query's tokens.
 
-    The longest ``least - 1`` lists at most are set aside. The others are merged
-    (their runs by one stable sort, the array form of the heap), a document seen
-    too seldom to reach the rest is skipped, and what remains probes each long
-    list by binary search.
+    The longest lists, ``least - 1`` at most, are set aside and a heap merges the others. A
+    document seen too seldom to reach the rest is skipped; what remains probes the long lists by
+    binary search, a stretch of them at a time, as long as it can still get enough.
     """
     lists = index.of(query)
     if len(lists) < least:
         return []
-    lists = lists[np.argsort(index.size[lists], kind="stable")]
-    longest = min(least - 1, int(least / (0.01 * np.log2(max(2, index.size[lists[-1]])) + 1)))
-    short, long = lists[: len(lists) - longest], lists[len(lists) - longest :]
-    merged = index.gather(short)
-    merged = np.sort(merged[merged < before], kind="stable")
+    aside = min(least - 1, int(least / (0.01 * np.log2(max(2, index.size[lists[-1]])) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    merged = heap_merge([index.docs[a : a + n] for a, n in zip(index.at[short].tolist(), index.size[short].tolist())])
+    merged = merged[: np.searchsorted(merged, before)]
     at = runs(merged)
     count = np.diff(np.append(at, len(merged)))
-    enough = count >= least - len(long)
-    found, count = merged[at[enough]], count[enough]
-    if len(found) and len(long):
-        span = int(index.docs.max()) + 1
-        keyed = np.repeat(np.arange(len(long)) * span, index.size[long]) + index.gather(long)
-        probe = (np.arange(len(long)) * span)[:, None] + found[None, :]
-        k = np.minimum(np.searchsorted(keyed, probe.ravel()), len(keyed) - 1).reshape(probe.shape)
-        count = count + (keyed[k] == probe).sum(0)
+    found = merged[at]
+    for k in range(0, len(long) + 1, PROBED):
+        enough = count >= least - (len(long) - k)
+        found, count, part = found[enough], count[enough], long[k : k + PROBED]
+        if not len(found) or not len(part):
+            break
+        keyed = np.repeat(np.arange(len(part)) * index.span, index.size[part]) + index.gather(part)
+        probe = ((np.arange(len(part)) * index.span)[:, None] + found[None, :]).ravel()
+        hit = keyed[np.minimum(np.searchsorted(keyed, probe), len(keyed) - 1)] == probe
+        count = count + hit.reshape(len(part), -1).sum(0)
     keep = count >= least
     return list(zip(found[keep].tolist(), count[keep].tolist()))
 
 
 def _search_group(ids: list[int], comps: list[int], sizes: list[int], tokens: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between different components in a group; a component pair needs one link only."""
+    """Links between different components in a group; a component pair needs one link only.
+
+    Documents are numbered component by component, the largest first, and a query looks
+    for those before its own component only; so nothing is found within one.
+    """
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -275,11 +316,16 @@ def _search_group(ids: list[int], comps: list[int], sizes: list[int], tokens: li
             x = parent[x]
         return x
 
-    order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
+    many = Counter(comps)
+    order = sorted(range(len(ids)), key=lambda i: (-many[comps[i]], comps[i], ids[i]))
     index = Lists([tokens[i] for i in order])
-    found = []
+    found, start = [], 0
     for pos, i in enumerate(order):
-        for j_pos, inter in divide_skip(index, tokens[i], least_shared(sizes[i]), pos):
+        if comps[i] != comps[order[start]]:
+            start = pos
+        if not start:
+            continue
+        for j_pos, inter in divide_skip(index, tokens[i], least_shared(sizes[i]), start):
             j = order[j_pos]
             a, b = find(comps[i]), find(comps[j])
             if a != b and linked(inter, sizes[i], sizes[j]):
@@ -297,13 +343,13 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, _LINK)
 
     for b in batches:
-        *cols, lists = (b.column(b.schema.get_field_index(c)) for c in ("cell", "i", "j", "rep", "comp", "n", "tokens"))
+        *cols, lists = (b.column(b.schema.get_field_index(c)) for c in ("by_token", "cell", "i", "j", "rep", "comp", "n", "tokens"))
         flat, off = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy()
-        for k, (t, i, j, rep, comp, n) in enumerate(zip(*(c.to_pylist() for c in cols))):
-            if (t, i, j) != group:
+        for k, (*key, rep, comp, n) in enumerate(zip(*(c.to_pylist() for c in cols))):
+            if key != group:
                 if rows:
                     yield flush()
-                group, rows = (t, i, j), []
+                group, rows = key, []
             rows.append((rep, comp, n, flat[off[k] : off[k + 1]]))
     if rows:
         yield flush()
@@ -313,7 +359,7 @@ def shared_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n, set hash (s1, s2); shared tokens and minimum keys where a partner is possible."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     parts = part_count(docs)
-    return src.mapInArrow(_shingle(parts), ddl(_MAP)).groupBy("part").applyInArrow(_share, ddl(_SHARED)).groupBy("block").applyInArrow(_documents, ddl(_DOCS))
+    return src.mapInArrow(tidy(_shingle(parts)), ddl(_MAP)).groupBy("part").applyInArrow(_share, ddl(_SHARED)).groupBy("block").applyInArrow(_documents, ddl(_DOCS))
 
 
 def similar(docs: DataFrame, block: int = 1024) -> DataFrame:
@@ -350,9 +396,17 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pivot_links(sets: DataFrame) -> DataFrame:
-    posts = sets.select("rep", "n", F.posexplode("keys").alias("seed", "key"))
-    ends = posts.groupBy("seed", "key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max("rep").alias("hi")).where("lo.rep < hi")
-    pairs = posts.join(ends, ["seed", "key"]).where("rep <> lo.rep and 4 * n >= 3 * lo.n and 4 * lo.n >= 3 * n").select(F.col("rep").alias("a"), F.col("lo.rep").alias("b")).distinct()
+    """Links of the sets that share a minimum key to the group's pivot: the one whose shingles are commonest.
+
+    Copies of one text differ from each other more than from it, and its shingles stand in most of
+    them. Pivots come from a partial aggregation; the join that follows reads two tables, so Spark
+    may split the rows of a hot key.
+    """
+    common = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, x: acc + F.shiftrightunsigned(x, 58)) / F.col("n")
+    posts = cut(sets.select("rep", "n", common.alias("common"), F.posexplode("keys").alias("seed", "key")))
+    ends = posts.groupBy("seed", "key").agg(F.max(F.struct("common", (-F.col("rep")).alias("minus"), "n")).alias("top"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    ends = cut(ends.select("seed", "key", (-F.col("top.minus")).alias("b"), F.col("top.n").alias("m")))
+    pairs = posts.join(ends, ["seed", "key"]).where("rep <> b and 4 * n >= 3 * m and 4 * m >= 3 * n").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     return _overlap(pairs, sets)
 
 
@@ -362,13 +416,21 @@ def _exact_links(sets: DataFrame, label: DataFrame, block: int) -> DataFrame | N
     sets = sets.join(label, F.col("rep") == F.col("id"), "left").select("rep", "n", "tokens", F.coalesce("comp", "rep").alias("comp"))
     posts = sets.select("rep", "comp", F.explode(prefix).alias("token"))
     lists = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("b")).where("lo < hi").select("token", "b")
-    edges = cut(posts.join(lists, "token").select(F.col("rep").alias("a"), "b").where("a <> b").distinct())
+    open_lists = cut(posts.join(lists, "token").select("token", "rep", "b"))
+    edges = open_lists.where("rep <> b").select(F.col("rep").alias("a"), "b")
     if not edges.take(1):
         return None
     cell = components(edges)
-    size = cell.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    cell = cell.join(size, "comp").select(F.col("id").alias("rep"), F.col("comp").alias("cell"), "nb").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = cell.select("cell", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("cell", "rep", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    rows = dealt.join(sets, "rep").select("cell", "i", "j", "rep", "comp", "n", "tokens")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_search, ddl(_LINK)).distinct())
+    copies = open_lists.groupBy("rep").agg(F.count("*").alias("k")).withColumnRenamed("rep", "id")
+    size = cell.join(copies, "id").groupBy("comp").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
+    ways = cut(size.select("comp", F.ceil(F.col("m") / block).cast("int").alias("nb"), (F.ceil(F.col("m") / block) > F.col("k") / F.col("m")).alias("by_token")))
+    cell = cut(cell.join(ways, "comp").select(F.col("id").alias("rep"), F.col("comp").alias("cell"), "nb", "by_token"))
+    # a cell is searched by pairs of its blocks or list by list (a long list by pairs of blocks), whichever needs fewer copies of its sets
+    large = open_lists.join(cell.where("by_token").select("rep"), "rep").select(F.col("token").alias("cell"), "rep")
+    large = large.join(large.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")), "cell").withColumn("by_token", F.lit(True))
+    large = cell.where("not by_token").unionByName(large).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    one = F.lit(0)
+    dealt = large.select("by_token", "cell", "rep", "own", F.explode(F.sequence(one, F.col("nb") - 1)).alias("o")).select("by_token", "cell", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "rep")
+    rows = dealt.join(sets, "rep").select("by_token", "cell", "i", "j", "rep", "comp", "n", "tokens")
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(open_lists) // (4 << 20))
+    return cut(rows.repartition(parts, "by_token", "cell", "i", "j").sortWithinPartitions("by_token", "cell", "i", "j").mapInArrow(tidy(_search), ddl(_LINK)).distinct())

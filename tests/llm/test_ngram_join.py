@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 from pagemill.llm.components import components
-from pagemill.llm.ngram_join import Lists, divide_skip, similar
+from pagemill.llm.ngram_join import Lists, divide_skip, heap_merge, similar, tallied, tally, untally
 
 
 def shingles(t):
@@ -104,3 +104,32 @@ def test_components(spark):
             parent[a] = parent[b] = min(parent[a], parent[b])
     assert got == {k: v for k, v in parent.items() if any(k in e and e[0] != e[1] for e in edges)}
     assert np.all([v <= k for k, v in got.items()])
+
+
+def test_heap_merge():
+    r = random.Random(7)
+    for n in (0, 1, 2, 17, 300):
+        lists = [np.array(sorted(r.sample(range(400), r.randint(1, 12)))) for _ in range(n)]
+        assert heap_merge(lists).tolist() == sorted(x for l in lists for x in l.tolist())
+
+
+def test_tally():
+    r = random.Random(8)
+    for n, size in ((1, 0), (5, 3), (1000, 2), (70_000, 5), (300, 5000), (2, 70_000)):
+        doc = np.array(sorted(r.randrange(n) for _ in range(size)), np.int64)
+        packed = tally(doc, n).tobytes()
+        assert untally(packed).tolist() == doc.tolist() and tallied(packed) == n and len(packed) <= 5 + 4 * min(n, max(size, 1))
+
+
+def test_long_texts(spark):
+    """Texts of more than a block, each a slice of its own, and short ones between them."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(5000)]
+    long = [r.choice(words) for _ in range(260_000)]
+    other = list(long)
+    for k in range(0, len(other), 60):
+        other[k] = "x"
+    far = list(long)
+    for k in range(0, len(far), 10):
+        far[k] = "y"
+    check(spark, [(9, " ".join(long)), (4, " ".join(other)), (2, " ".join(far)), (7, "one two three four five six"), (5, "one two three four five six")])
