@@ -16,7 +16,7 @@ from pagemill.llm.language import identify_documents
 from pagemill.llm.ngram_join import similar
 from pagemill.llm.packing import pack
 from pagemill.llm.secrets import redact
-from pagemill.llm.spark import cut, shared_folder
+from pagemill.llm.spark import cut, removed_at_end, shared_folder
 from pagemill.llm.suffix_dedup import dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -49,7 +49,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row is judged by itself, also where its doc_id is null or repeated.
     """
     docs, key = _keyed(docs)
-    return _without(docs, identify_documents(docs, key).where("not kept").select(key), key)
+    rejected = cut(identify_documents(docs, key).where("not kept").select(key))  # a table of known size: where it is small, the texts need no exchange
+    return _without(docs, rejected, key)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = removed_at_end(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
