@@ -2,7 +2,7 @@
 
 log P(lang | all) = text log-likelihood + log P(declared | lang) + log prior(host),
 where the text model is naive Bayes on hashed byte trigrams of letters, the
-declaration (markup or metadata) is weighed by how often it agrees with the text over
+declaration (a page's markup) is weighed by how often it agrees with the text over
 the whole corpus, and a host's prior is its grouped text evidence, smoothed
 towards that of its address suffix, and that towards the corpus.
 """
@@ -143,8 +143,12 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, host: Column,
 
 
 def identify_documents(docs: DataFrame, key: str = "doc_id", model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """documents: source is the host, lang the declaration; the text model learns every language of them from a bounded sample of each."""
-    return identify(docs, *(model or fit_text_model(docs)), F.col("source"), F.col("lang"), F.lit(None), key)
+    """documents: text and host (source) are the evidence.
+
+    lang labels the rows that the text model learns from, a bounded sample of each language; so it is
+    no evidence of the same rows. Documents have neither markup nor an address.
+    """
+    return identify(docs, *(model or fit_text_model(docs)), F.col("source"), F.lit(None), F.lit(None), key)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
