@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding by a batched Viterbi search.
 
-Words of equal length advance together: at each end position the hashes of all
-substrings that end there probe the sorted keys of the pieces, and a vectorised
-maximum stores score and backpointer. Scores are the model's own, and the best path is
-that of its unigram search (greatest total, ties to the longer last piece); characters
-without a piece fall back to byte pieces.
+The hashes of all substrings of a length probe the sorted keys of the pieces at once. Words
+of equal length then advance together: at each end position a vectorised maximum over
+the lengths of the last piece stores score and backpointer. A long word is first cut where
+no piece reaches over, which no path can avoid; its stretches are words like others.
+Scores are the model's own, and the best path is that of its unigram search (greatest
+total, ties to the longer last piece); characters without a piece fall back to byte pieces.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ import sentencepiece as spm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bytesio import U64, mix, prefix_hash, range_hash, slices
+from pagemill.llm.bytesio import U64, mix, prefix_hash, range_hash, slices, tidy
 from pagemill.llm.spark import batch
 
 SPACE = "▁"
 #: How far below the least piece score an unknown character is (fixed by the format's search).
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
+#: Bytes of remembered words a worker holds at most, and what an entry takes besides its own bytes.
+REMEMBERED, ENTRY = 24 << 20, 260
+#: Words above this many characters are cut into stretches first; stretches above LINEAR are searched position by position.
+LONG, LINEAR = 64, 2048
 _MUL = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -58,51 +62,116 @@ class Pieces:
         self.keys, self.ids = keys[order], np.array(plain)[order]
         #: Words can be cut before a space mark that follows another character if no piece runs over that place.
         self.cuts = not any(a != SPACE and b == SPACE for i in plain for a, b in zip(self.text[i], self.text[i][1:]))
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered words (a worker outlives its task)."""
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def hits(self, codes: np.ndarray, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, piece or -1) of all substrings of ``size`` characters, by the hash of those one shorter."""
+        h = mix(h[..., : codes.shape[-1] - size + 1] * _MUL + codes[..., size - 1 :].astype(U64) + U64(1))
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return h, np.where(self.keys[k] == h, self.ids[k], -1)
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """ids of words; equal-length words are searched together."""
         out: list = [None] * len(words)
-        size = np.array([len(w) for w in words])
+        stretches: list[str] = []
+        owner: list[int] = []
+        for i, w in enumerate(words):
+            for part in self._stretches(w) if len(w) > LONG else [w]:
+                stretches.append(part)
+                owner.append(i)
+        found: list = [None] * len(stretches)
+        size = np.array([len(w) for w in stretches])
         for length in np.unique(size):
             at = np.flatnonzero(size == length)
-            step = max(1, 400_000 // max(1, int(length)))
+            step = max(1, 200_000 // max(1, int(length)))
             for k in range(0, len(at), step):
                 part = at[k : k + step]
-                codes = np.frombuffer("".join(words[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
-                for i, ids in zip(part, self._search(codes)):
-                    out[i] = ids
-        return out
+                codes = np.frombuffer("".join(stretches[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
+                for i, ids in zip(part, self._search(codes) if length <= LINEAR else [self._walk(c) for c in codes]):
+                    found[i] = ids
+        for i, ids in zip(owner, found):
+            out[i] = ids if out[i] is None else [*([out[i]] if isinstance(out[i], np.ndarray) else out[i]), ids]
+        return [np.concatenate(x) if isinstance(x, list) else x for x in out]
+
+    def _stretches(self, word: str) -> list[str]:
+        """The word, cut at each place that no piece of two characters or more reaches over."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        edge = np.zeros(len(codes) + 1, np.int64)
+        h = np.zeros(len(codes), U64)
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h, ids = self.hits(codes, size, h)
+            if size > 1:
+                start = np.flatnonzero(ids >= 0)
+                np.add.at(edge, start + 1, 1)
+                np.add.at(edge, start + size, -1)
+        cuts = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+        bounds = [*np.union1d(cuts, [0]).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _walk(self, codes: np.ndarray) -> np.ndarray:
+        """The search of one long stretch: the few pieces at each place, found at once, are gone through in order."""
+        n = len(codes)
+        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+        h = np.zeros(n, U64)
+        for size in range(1, min(self.longest, n) + 1):
+            h, ids = self.hits(codes, size, h)
+            at = np.flatnonzero(ids >= 0)
+            for a, i, score in zip(at.tolist(), ids[at].tolist(), self.score[ids[at]].tolist()):
+                ends[a].append((a + size, score, i))
+            if size == 1:
+                for a in np.flatnonzero(ids < 0).tolist():
+                    ends[a].append((a + 1, self.unknown, -1))
+        best, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best[0] = 0.0
+        for a in range(n):
+            here = best[a]
+            for b, score, i in ends[a]:
+                if here + score > best[b]:
+                    best[b], back[b] = here + score, (a, i)
+        path, at = [], n
+        while at > 0:
+            a, i = back[at]
+            path.append([i] if i >= 0 else self._bytes(chr(int(codes[a]))))
+            at = a
+        return np.array([i for x in reversed(path) for i in x], np.int32)
 
     def _search(self, codes: np.ndarray) -> list[np.ndarray]:
         n, length = codes.shape
+        most = min(self.longest, length)
+        # pieces[k - 1][:, a]: the piece of k characters at a, or -1
+        pieces, h = [], np.zeros((n, length), U64)
+        for size in range(1, most + 1):
+            h, ids = self.hits(codes, size, h)
+            pieces.append(ids)
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int32)
-        piece = np.full((n, length + 1), -1, np.int64)
-        # extend substrings from every start by one character at a time; starts in order, so ties keep the earlier start
-        for start in range(length):
-            h = np.zeros(n, U64)
-            single = np.zeros(n, bool)
-            for end in range(start + 1, min(length, start + self.longest) + 1):
-                h = mix(h * _MUL + codes[:, end - 1].astype(U64) + U64(1))
-                k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[k] == h
-                ids = self.ids[k]
-                total = np.where(hit, best[:, start] + self.score[ids], -np.inf)
-                if end == start + 1:
-                    single = ~hit
-                    total = np.where(single, best[:, start] + self.unknown, total)
-                    ids = np.where(single, -1, ids)
-                up = total > best[:, end]
-                best[up, end], back[up, end], piece[up, end] = total[up], start, ids[up]
+        take = np.zeros((n, length + 1), np.int32)
+        for end in range(1, length + 1):
+            sizes = range(min(most, end), 0, -1)  # longest first, so ties keep the longer piece
+            ids = np.stack([pieces[k - 1][:, end - k] for k in sizes], 1)
+            total = np.where(ids >= 0, self.score[ids], -np.inf)
+            total[:, -1] = np.where(ids[:, -1] >= 0, total[:, -1], self.unknown)
+            total += best[:, end - np.array(sizes)]
+            k = total.argmax(1)
+            best[:, end] = total[np.arange(n), k]
+            take[:, end] = sizes[0] - k
         rows, at = np.arange(n), np.full(n, length)
         steps = []
         while (at > 0).any():
             live = at > 0
-            prev = np.where(live, back[rows, at], 0)
-            steps.append((live, piece[rows, at], prev))
-            at = np.where(live, prev, 0)
+            size = np.where(live, take[rows, at], 1)
+            prev = np.where(live, at - size, 0)
+            ids = np.full(n, -1, np.int64)
+            for k in np.unique(size[live]):
+                m = live & (size == k)
+                ids[m] = pieces[k - 1][rows[m], prev[m]]
+            steps.append((live, ids, prev))
+            at = prev
         # unknown characters become bytes; walk the steps from the front
         seq: list[list[int]] = [[] for _ in range(n)]
         for live, ids, prev in reversed(steps):
@@ -141,13 +210,17 @@ class Pieces:
         _, first, inverse = np.unique(range_hash(h, at, end), return_index=True, return_inverse=True)
         blob = data.tobytes()
         words = [blob[a:b].decode() for a, b in zip(at[first].tolist(), end[first].tolist())]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.viterbi(new)))
-        ids = [self.known[w] for w in words]
-        size = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
+        fresh = {w: x.tobytes() for w, x in zip(new, self.viterbi(new))}
+        ids = [fresh[w] if w in fresh else self.known[w] for w in words]
+        cost = sum(4 * len(w) + len(x) + ENTRY for w, x in fresh.items())
+        if self.held + cost > REMEMBERED:
+            self.forget()
+        if cost <= REMEMBERED:
+            self.known |= fresh
+            self.held += cost
+        size = np.array([len(x) for x in ids]) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         begin = np.cumsum(size) - size
         n = size[inverse]
         total = np.cumsum(n)
@@ -185,7 +258,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         table = [model.text[i].replace(SPACE, " ").encode() for i in range(len(model.text))]
         for b, i in model.byte.items():
             table[i] = bytes([b])
-        for rows, _, _ in slices(batches, most=2 << 20):
+        for rows, _, _ in slices(batches, most=1 << 20):
             texts = [t or "" for t in rows.column(1).to_pylist()]
             ids = model.encode(texts)
             back = [b"".join(map(table.__getitem__, x.tolist())) for x in ids]
@@ -193,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             off = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             yield batch({"doc_id": rows.column(0), "n_tokens": np.diff(off).astype(np.int64), "ids": pa.ListArray.from_arrays(off, np.concatenate(ids).astype(np.int32)), "round_trip": same}, _OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, lambda: pieces(path).forget()), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
