@@ -1,24 +1,31 @@
 """Nearest neighbours by a block matrix join with int8 tiles.
 
-Queries and vectors are dealt into cells (query block x vector group). In a cell
-a tile of int8 products bounds every inner product from both sides; only pairs
-that can still be among the k nearest are computed in double precision, and
-heaps keep the k best of each query. The bounds are exact, so recall is 1.
+Vectors are quantised once, and their int8 codes, with scale and error norm, are dealt into
+cells (query block x vector group). In a cell a tile of code products bounds every
+inner product from both sides; pairs that can still be among the k nearest survive, first by
+the bounds of their cell, then by those of all cells of their query. Only survivors fetch
+the original vectors, are computed in double precision, and merged by a heap for
+each query. The bounds are exact, so recall is 1.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.spark import table
+from pagemill.llm.bytesio import tidy
+from pagemill.llm.spark import batch, cut, table
+from pagemill.llm.suffix_dedup import ddl
 
 TILE = 2048
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_CODE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("scale", pa.float64()), ("norm", pa.float64()), ("err", pa.float64())])
+_PAIR = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("high", pa.float64()), ("bound", pa.float64())])
+_OUT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,55 +57,96 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return acc
 
 
-def search_cell(q_ids, q, v_ids, v, k: int) -> list[tuple[int, int, float]]:
-    """The k best (query, vector, score) of each query in a cell; ties to the smaller vector id."""
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    best = np.full(len(q_ids), -np.inf)
-    qq = quantise(q)
+def _codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quantised form of each vector; rows of one dimension together."""
+    for b in batches:
+        row, ids, dim, lists = (b.column(k) for k in range(4))
+        sizes = dim.to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes):
+            at = pa.array(np.flatnonzero(sizes == d))
+            x = lists.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+            code, scale, norm, err = quantise(x)
+            yield batch({"row": row.take(at), "id": ids.take(at), "dim": np.full(len(at), d, np.int32), "code": [c.tobytes() for c in code], "scale": scale, "norm": norm, "err": err}, _CODE)
+
+
+def _block(tbl: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(rows, ids, quantised vectors) of a cell's side."""
+    get = lambda c: tbl.column(c).to_numpy()
+    code = np.frombuffer(b"".join(tbl.column("code").to_pylist()), np.int8).reshape(tbl.num_rows, -1)
+    return get("row").astype(np.int64), get("id").astype(np.int64), (code, get("scale"), get("norm"), get("err"))
+
+
+def search_cell(q_ids, q, v_ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, upper bound) of the pairs that may be among a query's k nearest, and the least bound each query must reach."""
+    bound = np.full(len(q_ids), -np.inf)
+    tops = np.full((len(q_ids), 0), -np.inf)
+    found = []
     for at in range(0, len(v_ids), TILE):
-        ids, block = v_ids[at : at + TILE], v[at : at + TILE]
-        low, high = tile_bounds(qq, quantise(block))
-        own = q_ids[:, None] == ids[None, :]
+        part = slice(at, at + TILE)
+        low, high = tile_bounds(q, tuple(x[part] for x in v))
+        own = q_ids[:, None] == v_ids[part][None, :]
         low[own] = high[own] = -np.inf
-        if low.shape[1] > k:
-            best = np.maximum(best, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-        i, j = np.nonzero((high >= best[:, None]) & ~own)
-        score = exact(q[i], block[j])
-        for a, s, b in zip(i.tolist(), score.tolist(), ids[j].tolist()):
-            h = heaps[a]
-            if len(h) < k:
-                heapq.heappush(h, (s, -b))
-            elif (s, -b) > h[0]:
-                heapq.heapreplace(h, (s, -b))
-        for a, h in enumerate(heaps):
-            if len(h) == k:
-                best[a] = max(best[a], h[0][0])
-    return [(int(q_ids[a]), -b, s) for a, h in enumerate(heaps) for s, b in h]
-
-
-def _matrix(tbl: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = tbl.column("id").to_numpy().astype(np.int64)
-    flat = tbl.column("v").combine_chunks()
-    flat = (flat if isinstance(flat, pa.ListArray) else flat.chunk(0)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return ids, flat.reshape(len(ids), -1)
+        tops = np.concatenate([tops, low], 1)
+        if tops.shape[1] > k:
+            tops = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k:]
+        if tops.shape[1] == k:
+            bound = np.maximum(bound, tops.min(1))
+        i, j = np.nonzero((high >= bound[:, None]) & ~own)
+        found.append((i, j + at, high[i, j]))
+    i, j, high = (np.concatenate(x) for x in zip(*found))
+    keep = high >= bound[i]
+    return i[keep], j[keep], high[keep], bound
 
 
 def _cell(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
-        if left.num_rows and right.num_rows:
-            q_ids, q = _matrix(left)
-            v_ids, v = _matrix(right)
-            order = np.argsort(v_ids, kind="stable")
-            rows = search_cell(q_ids, q, v_ids[order], v[order], k)
-        return table(dict(zip(_OUT.names, zip(*rows))) if rows else {n: [] for n in _OUT.names}, _OUT)
+        if not left.num_rows or not right.num_rows:
+            return table({n: [] for n in _PAIR.names}, _PAIR)
+        q_row, q_ids, q = _block(left)
+        v_row, v_ids, v = _block(right)
+        i, j, high, bound = search_cell(q_ids, q, v_ids, v, k)
+        return table({"q": q_row[i], "v": v_row[j], "high": high, "bound": bound[i]}, _PAIR)
+
+    return run
+
+
+def _merge(k: int):
+    """Rows of a query stand together: exact products, and a heap of its k best."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, heap = None, []
+
+        def flush():
+            best = sorted(heap, key=lambda x: (-x[0], -x[1]))
+            return batch({"query_id": [query] * len(best), "rank": range(1, len(best) + 1), "vec_id": [-m for _, m in best], "score": [s for s, _ in best]}, _OUT)
+
+        for b in batches:
+            ids, others, dims = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            score = np.zeros(b.num_rows)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x, y = (b.column(c).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d) for c in (3, 4))
+                score[at] = exact(x, y)
+            for a, v, s in zip(ids.tolist(), others.tolist(), score.tolist()):
+                if a != query:
+                    if heap:
+                        yield flush()
+                    query, heap = a, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -v))
+                elif (s, -v) > heap[0]:
+                    heapq.heapreplace(heap, (s, -v))
+        if heap:
+            yield flush()
 
     return run
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """id, v, dim of the vectors that take part: not null, not zero, all components finite."""
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    given = vectors.schema[column].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast(kind).alias("v")).where("id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return named.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
@@ -112,17 +160,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: in
     neighbour (rows with its vec_id are left out); repeated rows of a vec_id count
     once for each row. Ties go to the smaller vec_id.
     """
-    q, v = usable(queries), usable(vectors)
     spark = vectors.sparkSession
+    number = F.monotonically_increasing_id()
+    q, v = (cut(usable(x).select(number.alias("row"), "id", "dim", "v")) for x in (queries, vectors))
     n_q, n_v = q.count(), v.count()
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-n_q // query_block))
     groups = max(1, -(-n_v // vector_block), min(-(-cores // blocks), n_v // 1024))
-    q = q.select("dim", "id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("vg"))
-    v = v.select("dim", "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("vg"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    cells = q.groupBy("dim", "qb", "vg").cogroup(v.groupBy("dim", "qb", "vg")).applyInArrow(_cell(k), "query_id long, vec_id long, score double")
-    best = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return cells.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    coded = lambda x: x.mapInArrow(tidy(_codes), ddl(_CODE))
+    place = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    qc = coded(q).select("*", place("id", blocks, 0).alias("qb"), each(groups).alias("vg"))
+    vc = coded(v).select("*", place("id", groups, 1).alias("vg"), each(blocks).alias("qb"))
+    pairs = qc.groupBy("dim", "qb", "vg").cogroup(vc.groupBy("dim", "qb", "vg")).applyInArrow(_cell(k), ddl(_PAIR))
+    pairs = pairs.withColumn("least", F.max("bound").over(Window.partitionBy("q"))).where("high >= least").select("q", "v")
+    near = pairs.join(v.select(F.col("row").alias("v"), F.col("id").alias("vec_id"), F.col("v").alias("y")), "v")
+    both = near.join(q.select(F.col("row").alias("q"), F.col("id").alias("query_id"), "dim", F.col("v").alias("x")), "q")
+    rows = both.select("query_id", "vec_id", "dim", "x", "y").repartition("query_id").sortWithinPartitions("query_id")
+    return rows.mapInArrow(tidy(_merge(k)), ddl(_OUT))
 
 
 ORACLE = """
