@@ -434,3 +434,19 @@ def _exact_links(sets: DataFrame, label: DataFrame, block: int) -> DataFrame | N
     rows = dealt.join(sets, "rep").select("by_token", "cell", "i", "j", "rep", "comp", "n", "tokens")
     parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(open_lists) // (4 << 20))
     return cut(rows.repartition(parts, "by_token", "cell", "i", "j").sortWithinPartitions("by_token", "cell", "i", "j").mapInArrow(tidy(_search), ddl(_LINK)).distinct())
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT doc_id AS id, doc_id AS near FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.near = e.a),
+c AS (SELECT id, min(near) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.id
+"""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.ann import ORACLE as ann_sql
+from pagemill.llm.ngram_join import ORACLE as join_sql
 from pagemill.llm.quality_rules import ORACLE as rules_sql
+from pagemill.llm.suffix_dedup import ORACLE as passages_sql
+from pagemill.llm.warc import ORACLE as archive_sql
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +85,7 @@ QUERIES = {
         op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup,
     )
 }
-ORACLE: dict[str, str] = {"op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql}
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": join_sql, "op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql,
+    "op6_seekable_warc": archive_sql, "op10_suffix_array_dedup": passages_sql,
+}

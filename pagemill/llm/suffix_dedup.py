@@ -313,3 +313,19 @@ def dedup(docs: DataFrame, width: int = 100, hot: int = 1000, text_out: bool = F
     types = {f.name: src.schema[f.name].dataType.simpleString() if f.name in keep else None for f in schema}
     out = ", ".join(f"`{f.name}` {types[f.name] or ('string' if f.type == pa.string() else 'long')}" for f in schema)
     return src.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(tidy(_cut_out(width, keep, schema, text_out)), out)
+
+
+ORACLE = r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, i, t[i + 1:i + 100] AS s FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 99)) AS i FROM b WHERE octet_length(t) >= 100)),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w),
+r AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM o WHERE nth > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r),
+spans AS (SELECT doc_id, k, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY doc_id, k),
+total AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM spans
+          UNION ALL SELECT b.doc_id, coalesce(max(hi), 0), octet_length(any_value(t)) FROM b LEFT JOIN spans ON b.doc_id = spans.doc_id GROUP BY b.doc_id),
+kept AS (SELECT edges.doc_id, sha256(unhex(string_agg(hex(t[a + 1:z]), '' ORDER BY a))) AS kept_sha256 FROM edges JOIN b ON edges.doc_id = b.doc_id GROUP BY edges.doc_id)
+SELECT b.doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM b LEFT JOIN total ON b.doc_id = total.doc_id JOIN kept ON b.doc_id = kept.doc_id
+"""

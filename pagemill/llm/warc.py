@@ -239,3 +239,12 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     return read_archives(write_archives(pages, folder), folder)
 
 
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages WHERE page_id IS NOT NULL),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+d AS (SELECT DISTINCT sha, array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((CAST('0x' || sha[(i // 4) * 5 + 1:(i // 4) * 5 + 5] AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, strlen(p.html) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON p.html = f.html JOIN d ON p.sha = d.sha
+"""
