@@ -59,13 +59,11 @@ def pdf_date_to_iso(raw: Column) -> Column:
     return F.when(size < 4, raw).otherwise(iso)
 
 
-def object_label(number: Column, generation: Column) -> Column:
-    return F.format_string("%d %d obj", number, generation)
-
-
 def data_url(png: Column) -> Column:
     return F.concat(F.lit("data:image/png;base64,"), F.replace(F.base64(png), F.lit("\r\n"), F.lit("")))
 
 
-def lossy_utf8(raw: Column) -> Column:
-    return F.make_valid_utf8(raw.cast("string"))
+def quoted_path(listing: str, other: str = "") -> str | None:
+    """The text between the first two quotes of an engine's language listing (of ``other`` where it has none)."""
+    parts = (listing if '"' in listing else other).split('"', 2)
+    return parts[1] if len(parts) > 2 else None

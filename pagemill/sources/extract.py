@@ -39,14 +39,25 @@ def operations(data: bytes) -> Iterator[tuple[bytes, list]]:
 
 
 def content(doc: Document, page: Ref) -> bytes:
-    """All content streams of a page, joined; array items that are not references are passed over."""
+    """All content streams of a page, as text is read from them: apart by a line end; an array may stand behind a reference."""
     node = doc.get(page)
     c = node.get(b"Contents") if isinstance(node, dict) else None
     if isinstance(c, Ref) and isinstance(doc.get(c), list):
         c = doc.get(c)
-    refs = c if isinstance(c, list) else [c]
-    streams = [doc.get(r) for r in refs if isinstance(r, Ref)]
-    return b"\n".join(doc.decoded(s) for s in streams if isinstance(s, Stream))
+    return b"\n".join(_streams(doc, c))
+
+
+def raw_content(doc: Document, page: Ref) -> bytes:
+    """The content that painted names and path operators are read from: the streams of a reference or of an array's references, without anything between them."""
+    node = doc.get(page)
+    return b"".join(_streams(doc, node.get(b"Contents") if isinstance(node, dict) else None))
+
+
+def _streams(doc: Document, c) -> Iterator[bytes]:
+    for r in c if isinstance(c, list) else [c]:
+        s = doc.get(r) if isinstance(r, Ref) else None
+        if isinstance(s, Stream):
+            yield doc.decoded(s)
 
 
 def resources(doc: Document, page: Ref) -> dict:
@@ -57,9 +68,37 @@ def resources(doc: Document, page: Ref) -> dict:
 # text
 
 
-def _cmap(data: bytes) -> dict[bytes, str]:
-    """Code -> text of a ToUnicode map."""
-    lx, held, out = Lexer(data), [], {}
+class CMap:
+    """Code -> text of a ToUnicode map: single codes, and ranges as they stand, of any size."""
+
+    def __init__(self) -> None:
+        self.one: dict[bytes, str] = {}
+        self.ranges: list[tuple[int, int, int, object]] = []  # (bytes of a code, first, last, text or list of texts)
+
+    def __bool__(self) -> bool:
+        return bool(self.one or self.ranges)
+
+    def get(self, code: bytes, default: str | None = None) -> str | None:
+        found = self.one.get(code)
+        if found is None and self.ranges:
+            x = int.from_bytes(code, "big")
+            for size, lo, hi, to in reversed(self.ranges):  # later ranges go before earlier ones
+                if size == len(code) and lo <= x <= hi:
+                    found = self._of(to, x - lo)
+                    break
+            if found is not None:
+                self.one[code] = found
+        return default if found is None else found
+
+    @staticmethod
+    def _of(to, k: int) -> str | None:
+        if isinstance(to, list):
+            return to[k].decode("utf-16-be", "replace") if k < len(to) and isinstance(to[k], bytes) else None
+        return (to[:-2] + ((int.from_bytes(to[-2:], "big") + k) & 0xFFFF).to_bytes(2, "big")).decode("utf-16-be", "surrogatepass")
+
+
+def _cmap(data: bytes) -> CMap:
+    lx, held, out = Lexer(data), [], CMap()
     text = lambda b: b.decode("utf-16-be", "replace")
     while True:
         v = lx.value(False)
@@ -71,19 +110,13 @@ def _cmap(data: bytes) -> dict[bytes, str]:
         if v.text == b"endbfchar":
             for code, to in zip(held[::2], held[1::2]):
                 if isinstance(code, bytes) and isinstance(to, bytes):
-                    out[bytes(code)] = text(to)
+                    out.one[bytes(code)] = text(to)
         elif v.text == b"endbfrange":
             for lo, hi, to in zip(held[::3], held[1::3], held[2::3]):
                 if not (isinstance(lo, bytes) and isinstance(hi, bytes)):
                     continue
-                a, b = int.from_bytes(lo, "big"), int.from_bytes(hi, "big")
-                for k in range(min(b - a + 1, 65536)):
-                    code = (a + k).to_bytes(len(lo), "big")
-                    if isinstance(to, list):
-                        if k < len(to) and isinstance(to[k], bytes):
-                            out[code] = text(to[k])
-                    elif isinstance(to, bytes) and len(to) >= 2:
-                        out[code] = text(to[:-2] + ((int.from_bytes(to[-2:], "big") + k) & 0xFFFF).to_bytes(2, "big"))
+                if isinstance(to, list) or (isinstance(to, bytes) and len(to) >= 2):
+                    out.ranges.append((len(lo), int.from_bytes(lo, "big"), int.from_bytes(hi, "big"), to))
         held = []
 
 
@@ -104,7 +137,7 @@ def glyph(name: str) -> str:
 
 class Font:
     def __init__(self, doc: Document, font: dict):
-        self.map: dict[bytes, str] = {}
+        self.map = CMap()
         to = doc.get(font.get(b"ToUnicode"))
         if isinstance(to, Stream):
             self.map = _cmap(doc.decoded(to))
@@ -127,17 +160,18 @@ class Font:
         if self.wide:
             pairs = [raw[i : i + 2] for i in range(0, len(raw), 2)]
             if self.map:
-                return "".join(self.map.get(p, "") for p in pairs)
+                return "".join(self.map.get(p, "") for p in pairs).encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")  # halves of a pair meet
             return raw.decode("utf-16-be", "replace")
         out = []
         for b in raw:
             one = bytes([b])
-            out.append(self.map[one] if one in self.map else self.names[b] if b in self.names else one.decode(self.codec, "replace"))
+            mapped = self.map.get(one)
+            out.append(mapped if mapped is not None else self.names[b] if b in self.names else one.decode(self.codec, "replace"))
         return "".join(out)
 
 
 _PLAIN = Font.__new__(Font)
-_PLAIN.map, _PLAIN.wide, _PLAIN.codec, _PLAIN.names = {}, False, "cp1252", {}
+_PLAIN.map, _PLAIN.wide, _PLAIN.codec, _PLAIN.names = CMap(), False, "cp1252", {}
 
 
 def page_text(doc: Document, page: Ref) -> str:
@@ -182,8 +216,8 @@ def page_text(doc: Document, page: Ref) -> str:
 
 def painted_names(doc: Document, page: Ref, xobjects: dict) -> set[bytes]:
     """Names painted by the page, and by the forms it paints (one level, looked up in the page's own resources)."""
-    do = lambda data: {bytes(a[-1]) for op, a in operations(data) if op == b"Do" and a and isinstance(a[-1], Name)}
-    names = do(content(doc, page))
+    do = lambda data: {bytes(a[0]) for op, a in operations(data) if op == b"Do" and a and isinstance(a[0], Name)}
+    names = do(raw_content(doc, page))
     for n in list(names):
         s = doc.get(xobjects.get(n))
         if isinstance(s, Stream) and doc.get(s.dict.get(b"Subtype")) == Name(b"Form"):
@@ -210,7 +244,7 @@ def has_form(doc: Document, page: Ref) -> bool:
 
 def has_vector(doc: Document, page: Ref) -> bool:
     try:
-        return sum(op.decode("latin-1") in PATH_OPERATORS for op, _ in operations(content(doc, page))) > 10
+        return sum(op.decode("latin-1") in PATH_OPERATORS for op, _ in operations(raw_content(doc, page))) > 10
     except PdfError:
         return False
 
@@ -314,6 +348,18 @@ def page_images(doc: Document, page: Ref, decoders: dict | None = None, raw: boo
         index += 1
 
 
+def has_image(doc: Document, page: Ref, decoders: dict | None = None) -> bool:
+    """Does the page paint an image that can be decoded? One in a format that only ``decoders`` read counts by its signature, if none is given."""
+    for _, _, s in painted_streams(doc, page):
+        filters = doc.filters(s)
+        last = filters[-1] if filters else b""
+        if doc.get(s.dict.get(b"Subtype")) == Name(b"Image") and last in (b"DCTDecode", b"JPXDecode") and last.decode() not in (decoders or {}):
+            w, h = (doc.integer(s.dict, k) for k in (b"Width", b"Height"))
+            if (w or 0) > 0 and (h or 0) > 0 and doc.decoded(s).startswith((b"\xff\xd8\xff", b"\xff\x4f\xff\x51", b"\x00\x00\x00\x0cjP")):
+                return True
+    return any(True for _ in page_images(doc, page, decoders, raw=True))
+
+
 # annotations, metadata, boxes
 
 

@@ -1,9 +1,9 @@
 """PDF scans: (doc_id, content) -> one frame per relation, parsed by Arrow batches.
 
-A relation has a scan of its own, so a query that needs text never decodes images.
+A relation has a scan of its own, so a query that needs text never decodes images;
+``everything`` gives the rows of several relations from one parse, told apart by ``kind``.
 Binary content goes no further than the scan. ``errors`` is 'fail' (the
-task fails with the load error), 'skip' (no rows) or 'row' where the relation has an
-error column.
+task fails with the load error) or 'skip' (no rows; load_errors names such documents).
 """
 
 from __future__ import annotations
@@ -64,6 +64,23 @@ def shape_rows(doc: Document) -> Iterator[dict]:
         yield {"page": k + 1, "has_form": X.has_form(doc, page), "has_vector": X.has_vector(doc, page)}
 
 
+#: Relation -> (rows, schema).
+RELATIONS: dict[str, tuple[Callable[[Document], Iterable[dict]], str]] = {"text": (text_rows, TEXT), "images": (image_rows, IMAGES), "annotations": (annotation_rows, ANNOTATIONS), "meta": (meta_rows, META), "boxes": (rect_rows, RECTS), "shapes": (shape_rows, SHAPES)}
+
+
+def everything(kinds: Iterable[str], decoders: dict | None = None) -> tuple[Callable[[Document], Iterator[dict]], str]:
+    """Rows of several relations of one parsed document, and their common schema."""
+    wanted = {k: RELATIONS[k] for k in kinds}
+    columns = dict.fromkeys(c for _, ddl in wanted.values() for c in ddl.split(", ")[1:])
+
+    def rows(doc: Document) -> Iterator[dict]:
+        for kind, (of, _) in wanted.items():
+            for row in image_rows(doc, decoders) if kind == "images" else of(doc):
+                yield {"kind": kind} | row
+
+    return rows, ", ".join(["doc_id string", "kind string", *columns])
+
+
 def names_of(ddl: str) -> list[str]:
     return [c.split(" ")[0] for c in ddl.split(", ")]
 
@@ -74,11 +91,20 @@ def schema_of(ddl: str):
     return StructType.fromDDL(ddl)
 
 
-def scan(docs: DataFrame, rows: Callable[[Document], Iterable[dict]], ddl: str, errors: str = "fail", bytes_each: int = 16 << 20) -> DataFrame:
-    """Rows of each document; an output batch is closed at ``bytes_each`` of binary data."""
+def weight(row: dict) -> int:
+    """Some bytes that a row holds."""
+    return 64 + sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+
+
+def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors: str = "fail", bytes_each: int = 16 << 20) -> DataFrame:
+    """Rows of each document; an output batch is closed at ``bytes_each`` of texts and binary data.
+
+    With a column ``pages`` (an array of page numbers), ``rows`` gets these as its second argument.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(schema_of(ddl))
+    some = "pages" in docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -92,16 +118,16 @@ def scan(docs: DataFrame, rows: Callable[[Document], Iterable[dict]], ddl: str,
                     if errors == "fail":
                         raise
                     continue
-                for row in rows(doc):
+                for row in rows(doc, b.column(2)[i].as_py()) if some else rows(doc):
                     out.append({"doc_id": doc_id} | row)
-                    held += len(row.get("data") or b"") + 64
+                    held += weight(row)
                     if held >= bytes_each:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return docs.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("string"), "content", *["pages"] * some).mapInArrow(run, ddl)
 
 
 def load_errors(docs: DataFrame) -> DataFrame:
@@ -122,7 +148,7 @@ def load_errors(docs: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL table functions pdf_pages, pdf_images, pdf_annotations, pdf_info and pdf_boxes of a binary column."""
+    """SQL table functions pdf_pages, pdf_images, pdf_annotations, pdf_info, pdf_boxes and pdf_shapes of a binary column."""
     from pyspark.sql.functions import udtf
 
     def of(rows, ddl):
@@ -136,5 +162,5 @@ def register(spark: SparkSession) -> None:
 
         return udtf(Table, returnType=returns)
 
-    for name, rows, ddl in (("pdf_pages", text_rows, TEXT), ("pdf_images", image_rows, IMAGES), ("pdf_annotations", annotation_rows, ANNOTATIONS), ("pdf_info", meta_rows, META), ("pdf_boxes", rect_rows, RECTS)):
-        spark.udtf.register(name, of(rows, ddl))
+    for name, kind in (("pdf_pages", "text"), ("pdf_images", "images"), ("pdf_annotations", "annotations"), ("pdf_info", "meta"), ("pdf_boxes", "boxes"), ("pdf_shapes", "shapes")):
+        spark.udtf.register(name, of(*RELATIONS[kind]))
