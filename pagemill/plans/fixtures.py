@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import data_url
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,7 +66,7 @@ def web_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image row for each list item of a page, its text as the payload."""
     p = read(spark, sf_dir, "pages")
     tagged = p.select(F.floor(F.col("page_id") / 10).cast("string").alias("doc_id"), (F.col("page_id") % 10 + 1).cast("long").alias("page"), F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<li><a href="([^"]*)"'), 1)).alias("i", "x"))
-    return tagged.where("page % 3 <> 0").select("doc_id", "page", F.col("i").cast("long").alias("image_index"), F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("x").cast("binary"))).alias("data_url"))
+    return tagged.select("doc_id", "page", F.col("i").cast("long").alias("image_index"), data_url(F.col("x").cast("binary")).alias("data_url"))
 
 
 def xobjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -79,12 +81,16 @@ def xobjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def cascade_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with whole native texts, and pages without: benchmark items as what an engine reads, and as what is drawn.
+
+    Labelled documents were drawn as well; quality says whether a page has forms, toxic whether it has vector content.
+    """
     d, l, b = (read(spark, sf_dir, n) for n in ("documents", "labels", "benchmark"))
     l = l.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    b = b.select(F.col("item_id").alias("doc_id"), F.col("text").alias("bench"))
-    j = d.select("doc_id", "text", "source").join(l, "doc_id", "left").join(b, "doc_id", "left")
-    return j.select(
-        F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 4 == 0, " \n\t").when(F.col("doc_id") % 4 == 1, F.substring("text", 1, 3)).otherwise(F.col("text")).alias("native"),
-        F.col("bench").alias("ocr_text"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("drawn "), F.col("doc_id").cast("string"))).alias("rendered_text"),
-        (F.coalesce("quality", F.lit(0)) == 1).alias("has_form"), (F.coalesce("toxic", F.lit(0)) == 1).alias("has_vector"),
-    )
+    none, flag = F.lit(None).cast("string"), lambda c: F.coalesce(c, F.lit(0)) == 1
+    drawn = F.when(F.col("quality").isNotNull(), F.concat(F.lit("drawn "), F.col("doc_id").cast("string")))
+    native = d.select("doc_id", "text", "source").join(l, "doc_id", "left").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.col("text").alias("native"), none.alias("ocr_text"), drawn.alias("rendered_text"), flag(F.col("quality")).alias("has_form"), flag(F.col("toxic")).alias("has_vector"))
+    odd = F.length("text") % 2 == 1
+    read_pages = b.select(F.lit("read").alias("doc_id"), F.col("item_id").alias("page"), F.lit(" \n\t").alias("native"), F.col("text").alias("ocr_text"), none.alias("rendered_text"), F.lit(False).alias("has_form"), odd.alias("has_vector"))
+    drawn_pages = b.select(F.lit("drawn").alias("doc_id"), F.col("item_id").alias("page"), none.alias("native"), F.lit("").alias("ocr_text"), F.col("text").alias("rendered_text"), odd.alias("has_form"), F.lit(False).alias("has_vector"))
+    return native.unionByName(read_pages).unionByName(drawn_pages)

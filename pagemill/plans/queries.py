@@ -210,9 +210,11 @@ def inherited_box(spark, sf_dir):
     return R.nearest_ancestor(_tree(spark, sf_dir), "v", F.length("v") > 6)
 
 
-_CASCADE = """i AS (SELECT d.source AS doc_id, d.doc_id AS page, CASE WHEN d.doc_id % 4 = 0 THEN ' ' || chr(10) || chr(9) WHEN d.doc_id % 4 = 1 THEN left(d.text, 3) ELSE d.text END AS native,
-  b.text AS ocr_text, CASE WHEN d.doc_id % 3 <> 0 THEN 'drawn ' || d.doc_id END AS rendered_text, coalesce(l.quality, 0) = 1 AS has_form, coalesce(l.toxic, 0) = 1 AS has_vector
-  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id LEFT JOIN benchmark b ON d.doc_id = b.item_id)"""
+_CASCADE = """i AS (SELECT d.source AS doc_id, d.doc_id AS page, d.text AS native, NULL::VARCHAR AS ocr_text, CASE WHEN quality IS NOT NULL THEN 'drawn ' || d.doc_id END AS rendered_text,
+    coalesce(l.quality, 0) = 1 AS has_form, coalesce(l.toxic, 0) = 1 AS has_vector
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'read', item_id, ' ' || chr(10) || chr(9), text, NULL, false, length(text) % 2 = 1 FROM benchmark
+  UNION ALL SELECT 'drawn', item_id, NULL, '', text, length(text) % 2 = 1, false FROM benchmark)"""
 
 
 def _cascade_sql(mode: str, least: int) -> str:
@@ -228,14 +230,14 @@ def ocr_cascade(spark, sf_dir):
     return C.cascade(X.cascade_inputs(spark, sf_dir), "Auto", 1)
 
 
-@query(_cascade_sql("Always", 4))
+@query(_cascade_sql("Always", 400))
 def ocr_cascade_always(spark, sf_dir):
-    return C.cascade(X.cascade_inputs(spark, sf_dir), "Always", 4)
+    return C.cascade(X.cascade_inputs(spark, sf_dir), "Always", 400)
 
 
-@query(_cascade_sql("Never", 4))
+@query(_cascade_sql("Never", 400))
 def ocr_cascade_never(spark, sf_dir):
-    return C.cascade(X.cascade_inputs(spark, sf_dir), "Never", 4)
+    return C.cascade(X.cascade_inputs(spark, sf_dir), "Never", 400)
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn // 4 + 1 AS BIGINT) AS page, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text <> '' GROUP BY ALL")
@@ -244,9 +246,9 @@ def ocr_concat(spark, sf_dir):
     return R.join_texts(c)
 
 
-@query(f"WITH {_CASCADE} SELECT doc_id, page FROM i WHERE {_SEEN('native')} = 0 AND page NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query(f"WITH {_CASCADE} SELECT doc_id, page FROM i WHERE {_SEEN("coalesce(native, '')")} = 0 AND NOT has_form")
 def render_auto(spark, sf_dir):
-    pages = X.cascade_inputs(spark, sf_dir).select("doc_id", "page", F.col("native").alias("text"), "has_form")
+    pages = X.cascade_inputs(spark, sf_dir).select("doc_id", "page", F.coalesce("native", F.lit("")).alias("text"), "has_form")
     images = pages.where("has_form")
     return R.needs_render(pages, images).select("doc_id", "page")
 
@@ -280,7 +282,7 @@ def render_size(spark, sf_dir):
 
 _PAYLOAD = f"""{_ANNOTS},
 tx AS (SELECT CAST(page_id // 10 AS VARCHAR) AS doc_id, CAST(page_id % 10 + 1 AS BIGINT) AS page, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS text FROM pages),
-im0 AS (SELECT doc_id, page, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM t WHERE page % 3 <> 0),
+im0 AS (SELECT doc_id, page, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS l FROM t),
 im AS (SELECT doc_id, page, list_transform(l, lambda x: 'data:image/png;base64,' || base64(encode(x))) AS images, len(l) AS n_images FROM im0 WHERE len(l) > 0),
 ln AS (SELECT doc_id, page, list(uri ORDER BY uri) AS links FROM a WHERE uri IS NOT NULL GROUP BY doc_id, page)"""
 

@@ -1,9 +1,10 @@
 import pytest
 
-from pagemill.plans.queries import ORACLE, QUERIES
+from pagemill.plans import pdf_queries, queries
 
 from tests.oracle import same
 
+QUERIES, ORACLE = queries.QUERIES | pdf_queries.QUERIES, queries.ORACLE | pdf_queries.ORACLE
 SF = "/root/testdata/sf0.01"
 
 
