@@ -42,7 +42,7 @@ from pagemill.llm.suffix_dedup import ddl
 
 SEEDS = 4
 #: Bytes of text whose shingles are announced together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Lists that one step of the heap merges, and long lists that are probed together.
 FAN, PROBED = 16, 64
 _ODD = mix(np.arange(1, 33, dtype=U64)) | U64(1)
