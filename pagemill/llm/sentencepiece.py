@@ -29,6 +29,7 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED, ENTRY = 24 << 20, 260
 #: Words above this many characters are cut into stretches first; stretches above LINEAR are searched position by position.
 LONG, LINEAR = 64, 2048
+FILTER_BITS = 20
 _MUL = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -60,6 +61,8 @@ class Pieces:
             keys[at] = _hash(np.array([[ord(c) for c in self.text[plain[i]]] for i in at]))
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain)[order]
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[keys >> U64(64 - FILTER_BITS)] = True
         #: Words can be cut before a space mark that follows another character if no piece runs over that place.
         self.cuts = not any(a != SPACE and b == SPACE for i in plain for a, b in zip(self.text[i], self.text[i][1:]))
         self.forget()
@@ -69,11 +72,17 @@ class Pieces:
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def hits(self, codes: np.ndarray, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, piece or -1) of all substrings of ``size`` characters, by the hash of those one shorter."""
-        h = mix(h[..., : codes.shape[-1] - size + 1] * _MUL + codes[..., size - 1 :].astype(U64) + U64(1))
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return h, np.where(self.keys[k] == h, self.ids[k], -1)
+    def hits(self, codes: np.ndarray, size: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Substrings of ``size`` characters down the first axis: (hashes, by those one shorter; flat places of pieces; the pieces).
+
+        A table of the hashes' leading bits lets few but pieces through to the search of the sorted keys.
+        """
+        h = mix(h[: len(codes) - size + 1] * _MUL + codes[size - 1 :] + U64(1))
+        flat = h.reshape(-1)
+        at = np.flatnonzero(self.maybe[flat >> U64(64 - FILTER_BITS)])
+        k = np.minimum(np.searchsorted(self.keys, flat[at]), len(self.keys) - 1)
+        right = self.keys[k] == flat[at]
+        return h, at[right], self.ids[k[right]]
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """ids of words; equal-length words are searched together."""
@@ -102,11 +111,10 @@ class Pieces:
         """The word, cut at each place that no piece of two characters or more reaches over."""
         codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
         edge = np.zeros(len(codes) + 1, np.int64)
-        h = np.zeros(len(codes), U64)
+        codes, h = codes.astype(U64), np.zeros(len(codes), U64)
         for size in range(1, min(self.longest, len(codes)) + 1):
-            h, ids = self.hits(codes, size, h)
+            h, start, _ = self.hits(codes, size, h)
             if size > 1:
-                start = np.flatnonzero(ids >= 0)
                 np.add.at(edge, start + 1, 1)
                 np.add.at(edge, start + size, -1)
         cuts = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
@@ -117,14 +125,13 @@ class Pieces:
         """The search of one long stretch: the few pieces at each place, found at once, are gone through in order."""
         n = len(codes)
         ends: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
-        h = np.zeros(n, U64)
+        wide, h = codes.astype(U64), np.zeros(n, U64)
         for size in range(1, min(self.longest, n) + 1):
-            h, ids = self.hits(codes, size, h)
-            at = np.flatnonzero(ids >= 0)
-            for a, i, score in zip(at.tolist(), ids[at].tolist(), self.score[ids[at]].tolist()):
+            h, at, ids = self.hits(wide, size, h)
+            for a, i, score in zip(at.tolist(), ids.tolist(), self.score[ids].tolist()):
                 ends[a].append((a + size, score, i))
             if size == 1:
-                for a in np.flatnonzero(ids < 0).tolist():
+                for a in np.setdiff1d(np.arange(n), at).tolist():
                     ends[a].append((a + 1, self.unknown, -1))
         best, back = [-np.inf] * (n + 1), [(0, -1)] * (n + 1)
         best[0] = 0.0
@@ -142,46 +149,47 @@ class Pieces:
 
     def _search(self, codes: np.ndarray) -> list[np.ndarray]:
         n, length = codes.shape
+        if not length:
+            return [np.zeros(0, np.int32) for _ in range(n)]
         most = min(self.longest, length)
-        # pieces[k - 1][:, a]: the piece of k characters at a, or -1
-        pieces, h = [], np.zeros((n, length), U64)
+        # of the piece of k characters at a in word i: its number, pieces[k - 1][a, i], or -1; and its score
+        wide = np.ascontiguousarray(codes.T).astype(U64)
+        pieces, scores, h = [], [], np.zeros((length, n), U64)
         for size in range(1, most + 1):
-            h, ids = self.hits(codes, size, h)
-            pieces.append(ids)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        take = np.zeros((n, length + 1), np.int32)
+            h, at, ids = self.hits(wide, size, h)
+            pieces.append(np.full(h.shape, -1, np.int32))
+            pieces[-1].reshape(-1)[at] = ids
+            scores.append(np.full(h.shape, self.unknown if size == 1 else -np.inf))
+            scores[-1].reshape(-1)[at] = self.score[ids]
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        take = np.zeros((length + 1, n), np.int32)
         for end in range(1, length + 1):
             sizes = range(min(most, end), 0, -1)  # longest first, so ties keep the longer piece
-            ids = np.stack([pieces[k - 1][:, end - k] for k in sizes], 1)
-            total = np.where(ids >= 0, self.score[ids], -np.inf)
-            total[:, -1] = np.where(ids[:, -1] >= 0, total[:, -1], self.unknown)
-            total += best[:, end - np.array(sizes)]
-            k = total.argmax(1)
-            best[:, end] = total[np.arange(n), k]
-            take[:, end] = sizes[0] - k
+            total = np.stack([best[end - k] + scores[k - 1][end - k] for k in sizes])
+            k = total.argmax(0)
+            best[end] = total[k, np.arange(n)]
+            take[end] = sizes[0] - k
         rows, at = np.arange(n), np.full(n, length)
         steps = []
         while (at > 0).any():
             live = at > 0
-            size = np.where(live, take[rows, at], 1)
+            size = np.where(live, take[at, rows], 1)
             prev = np.where(live, at - size, 0)
             ids = np.full(n, -1, np.int64)
             for k in np.unique(size[live]):
                 m = live & (size == k)
-                ids[m] = pieces[k - 1][rows[m], prev[m]]
+                ids[m] = pieces[k - 1][prev[m], rows[m]]
             steps.append((live, ids, prev))
             at = prev
-        # unknown characters become bytes; walk the steps from the front
-        seq: list[list[int]] = [[] for _ in range(n)]
-        for live, ids, prev in reversed(steps):
-            for i in np.flatnonzero(live).tolist():
-                p = int(ids[i])
-                if p >= 0:
-                    seq[i].append(p)
-                else:
-                    seq[i] += self._bytes(chr(int(codes[i, prev[i]])))
-        return [np.array(s, np.int32) for s in seq]
+        # from the front; words with unknown characters, which become bytes, one by one
+        live, ids, prev = (np.array(x[::-1]).reshape(len(steps), n) for x in zip(*steps))
+        flat, size = ids.T[live.T].astype(np.int32), live.sum(0)
+        out = [flat[b - k : b] for b, k in zip(np.cumsum(size).tolist(), size.tolist())]
+        for i in np.flatnonzero((live & (ids < 0)).any(0)).tolist():
+            place = prev[live[:, i], i].tolist()
+            out[i] = np.array([x for p, a in zip(out[i].tolist(), place) for x in ([p] if p >= 0 else self._bytes(chr(int(codes[i, a]))))], np.int32)
+        return out
 
     def _bytes(self, c: str) -> list[int]:
         raw = c.encode("utf-8", "replace")
