@@ -3,7 +3,7 @@
 Vectors are quantised once, and their int8 codes, with scale and error norm, are dealt into
 cells (query block x vector group). In a cell a tile of code products bounds every
 inner product from both sides; pairs that can still be among the k nearest survive, first by
-the bounds of their cell, then by those of all cells of their query. Only survivors fetch
+the bounds of their cell, where a second int8 code of the rounding error narrows them, then by those of all cells of their query. Only survivors fetch
 the original vectors, are computed in double precision, and merged by a heap for
 each query. The bounds are exact, so recall is 1.
 """
@@ -22,8 +22,8 @@ from pagemill.llm.bytesio import tidy
 from pagemill.llm.spark import batch, cut, table
 from pagemill.llm.suffix_dedup import ddl
 
-TILE = 2048
-_CODE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("scale", pa.float64()), ("norm", pa.float64()), ("err", pa.float64())])
+TILE = 1024
+_CODE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("scale", pa.float64()), ("norm", pa.float64()), ("err", pa.float64()), ("more", pa.binary()), ("more_scale", pa.float64()), ("more_err", pa.float64())])
 _PAIR = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("high", pa.float64()), ("bound", pa.float64())])
 _OUT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -66,17 +66,27 @@ def _codes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = pa.array(np.flatnonzero(sizes == d))
             x = lists.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
             code, scale, norm, err = quantise(x)
-            yield batch({"row": row.take(at), "id": ids.take(at), "dim": np.full(len(at), d, np.int32), "code": [c.tobytes() for c in code], "scale": scale, "norm": norm, "err": err}, _CODE)
+            rest = x - code * scale[:, None]
+            more, more_scale, _, more_err = quantise(rest)
+            yield batch({"row": row.take(at), "id": ids.take(at), "dim": np.full(len(at), d, np.int32), "code": [c.tobytes() for c in code], "scale": scale, "norm": norm, "err": err, "more": [c.tobytes() for c in more], "more_scale": more_scale, "more_err": more_err}, _CODE)
 
 
-def _block(tbl: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(rows, ids, quantised vectors) of a cell's side."""
+def _block(tbl: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """(rows, ids, codes, (vectors of both codes, norm, norm of the error left)) of a cell's side."""
     get = lambda c: tbl.column(c).to_numpy()
-    code = np.frombuffer(b"".join(tbl.column("code").to_pylist()), np.int8).reshape(tbl.num_rows, -1)
-    return get("row").astype(np.int64), get("id").astype(np.int64), (code, get("scale"), get("norm"), get("err"))
+    code, more = (np.frombuffer(b"".join(tbl.column(c).to_pylist()), np.int8).reshape(tbl.num_rows, -1) for c in ("code", "more"))
+    both = code * get("scale")[:, None] + more * get("more_scale")[:, None]
+    return get("row").astype(np.int64), get("id").astype(np.int64), (code, get("scale"), get("norm"), get("err")), (both, get("norm"), get("more_err"))
 
 
-def search_cell(q_ids, q, v_ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fine_bounds(q, v, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the inner products of the pairs (i, j), by both codes; the error is bounded as in tile_bounds."""
+    mid = np.einsum("ij,ij->i", q[0][i], v[0][j])
+    err = q[1][i] * v[2][j] + q[2][i] * (v[1] + v[2])[j] + 1e-9 * (1e-300 + q[1][i] * v[1][j])
+    return mid - err, mid + err
+
+
+def search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, upper bound) of the pairs that may be among a query's k nearest, and the least bound each query must reach."""
     bound = np.full(len(q_ids), -np.inf)
     tops = np.full((len(q_ids), 0), -np.inf)
@@ -86,25 +96,32 @@ def search_cell(q_ids, q, v_ids, v, k: int) -> tuple[np.ndarray, np.ndarray, np.
         low, high = tile_bounds(q, tuple(x[part] for x in v))
         own = q_ids[:, None] == v_ids[part][None, :]
         low[own] = high[own] = -np.inf
-        tops = np.concatenate([tops, low], 1)
-        if tops.shape[1] > k:
-            tops = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k:]
-        if tops.shape[1] == k:
-            bound = np.maximum(bound, tops.min(1))
-        i, j = np.nonzero((high >= bound[:, None]) & ~own)
-        found.append((i, j + at, high[i, j]))
+        best = _kth(np.concatenate([tops, low], 1), k)[1]
+        i, j = np.nonzero((high >= np.maximum(bound, best)[:, None]) & ~own)
+        low[i, j], fine = fine_bounds(q_fine, tuple(x[part] for x in v_fine), i, j)
+        tops, best = _kth(np.concatenate([tops, low], 1), k)
+        bound = np.maximum(bound, best)
+        keep = fine >= bound[i]
+        found.append((i[keep], j[keep] + at, fine[keep]))
     i, j, high = (np.concatenate(x) for x in zip(*found))
     keep = high >= bound[i]
     return i[keep], j[keep], high[keep], bound
 
 
+def _kth(low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest lower bounds of each row, and the least of them (minus infinity where there are fewer)."""
+    if low.shape[1] > k:
+        low = np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
+    return low, low.min(1) if low.shape[1] == k else np.full(len(low), -np.inf)
+
+
 def _cell(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return table({n: [] for n in _PAIR.names}, _PAIR)
-        q_row, q_ids, q = _block(left)
-        v_row, v_ids, v = _block(right)
-        i, j, high, bound = search_cell(q_ids, q, v_ids, v, k)
+        q_row, q_ids, q, q_fine = _block(left)
+        v_row, v_ids, v, v_fine = _block(right)
+        i, j, high, bound = search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k)
         return table({"q": q_row[i], "v": v_row[j], "high": high, "bound": bound[i]}, _PAIR)
 
     return run
@@ -151,7 +168,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding"
     return named.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 8192, vector_block: int = 32768) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 4096, vector_block: int = 32768) -> DataFrame:
     """The k vectors of largest inner product of each query: query_id, rank, vec_id, score.
 
     Both frames have (vec_id, embedding). Vectors that are null, zero or hold null
