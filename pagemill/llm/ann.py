@@ -24,7 +24,7 @@ from pagemill.llm.suffix_dedup import ddl
 
 TILE = 1024
 _CODE = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("scale", pa.float64()), ("norm", pa.float64()), ("err", pa.float64()), ("more", pa.binary()), ("more_scale", pa.float64()), ("more_err", pa.float64())])
-_PAIR = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("high", pa.float64()), ("bound", pa.float64())])
+_PAIR = pa.schema([("q", pa.int64()), ("v", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 _OUT = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -87,7 +87,7 @@ def fine_bounds(q, v, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, upper bound) of the pairs that may be among a query's k nearest, and the least bound each query must reach."""
+    """(query, vector, lower bound, upper bound) of the pairs that may be among a query's k nearest."""
     bound = np.full(len(q_ids), -np.inf)
     tops = np.full((len(q_ids), 0), -np.inf)
     found = []
@@ -98,14 +98,15 @@ def search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k: int) -> tuple[np.ndarray,
         low[own] = high[own] = -np.inf
         best = _kth(np.concatenate([tops, low], 1), k)[1]
         i, j = np.nonzero((high >= np.maximum(bound, best)[:, None]) & ~own)
-        low[i, j], fine = fine_bounds(q_fine, tuple(x[part] for x in v_fine), i, j)
+        least, most = fine_bounds(q_fine, tuple(x[part] for x in v_fine), i, j)
+        low[i, j] = least
         tops, best = _kth(np.concatenate([tops, low], 1), k)
         bound = np.maximum(bound, best)
-        keep = fine >= bound[i]
-        found.append((i[keep], j[keep] + at, fine[keep]))
-    i, j, high = (np.concatenate(x) for x in zip(*found))
-    keep = high >= bound[i]
-    return i[keep], j[keep], high[keep], bound
+        keep = most >= bound[i]
+        found.append((i[keep], j[keep] + at, least[keep], most[keep]))
+    i, j, least, most = (np.concatenate(x) for x in zip(*found))
+    keep = most >= bound[i]
+    return i[keep], j[keep], least[keep], most[keep]
 
 
 def _kth(low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +122,8 @@ def _cell(k: int):
             return table({n: [] for n in _PAIR.names}, _PAIR)
         q_row, q_ids, q, q_fine = _block(left)
         v_row, v_ids, v, v_fine = _block(right)
-        i, j, high, bound = search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k)
-        return table({"q": q_row[i], "v": v_row[j], "high": high, "bound": bound[i]}, _PAIR)
+        i, j, low, high = search_cell(q_ids, q, q_fine, v_ids, v, v_fine, k)
+        return table({"q": q_row[i], "v": v_row[j], "low": low, "high": high}, _PAIR)
 
     return run
 
@@ -185,12 +186,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: in
     blocks = max(1, -(-n_q // query_block))
     groups = max(1, -(-n_v // vector_block), min(-(-cores // blocks), n_v // 1024))
     coded = lambda x: x.mapInArrow(tidy(_codes), ddl(_CODE))
-    place = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
+    part = lambda c, m, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    qc = coded(q).select("*", place("id", blocks, 0).alias("qb"), each(groups).alias("vg"))
-    vc = coded(v).select("*", place("id", groups, 1).alias("vg"), each(blocks).alias("qb"))
+    qc = coded(q).select("*", part("id", blocks, 0).alias("qb"), each(groups).alias("vg"))
+    vc = coded(v).select("*", part("id", groups, 1).alias("vg"), each(blocks).alias("qb"))
     pairs = qc.groupBy("dim", "qb", "vg").cogroup(vc.groupBy("dim", "qb", "vg")).applyInArrow(_cell(k), ddl(_PAIR))
-    pairs = pairs.withColumn("least", F.max("bound").over(Window.partitionBy("q"))).where("high >= least").select("q", "v")
+    # a query's k-th greatest lower bound over all cells is what its nearest must reach
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low")))
+    reach = F.max(F.when(F.col("place") == k, F.col("low"))).over(Window.partitionBy("q"))
+    pairs = pairs.withColumn("place", place).withColumn("least", reach).where("least is null or high >= least").select("q", "v")
     near = pairs.join(v.select(F.col("row").alias("v"), F.col("id").alias("vec_id"), F.col("v").alias("y")), "v")
     both = near.join(q.select(F.col("row").alias("q"), F.col("id").alias("query_id"), "dim", F.col("v").alias("x")), "q")
     rows = both.select("query_id", "vec_id", "dim", "x", "y").repartition("query_id").sortWithinPartitions("query_id")
