@@ -91,7 +91,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_copies", near_copies), ("repeated_passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
 
-#: Text likelihoods, the forest and the tokeniser have no SQL form; tests/llm holds each stage against a brute-force version.
+#: Text likelihoods, the forest and the tokeniser have no SQL form. tests/llm holds near copies, passages and packing against
+#: brute force, the language posterior against a plain computation, and secrets against planted ones.
 ORACLE_SQL = None
 
 
