@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.ann import ORACLE as ann_sql
+from pagemill.llm.merkle import ORACLE as manifest_sql
 from pagemill.llm.ngram_join import ORACLE as join_sql
 from pagemill.llm.quality_rules import ORACLE as rules_sql
 from pagemill.llm.suffix_dedup import ORACLE as passages_sql
@@ -78,14 +79,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_read(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.merkle import manifest
+
+    return manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sentencepiece_viterbi, op3_block_matrix_neighbours, op4_secret_scan, op5_line_frequency_rules,
-        op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup,
+        op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup, op12_merkle_manifest,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": join_sql, "op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql,
-    "op6_seekable_warc": archive_sql, "op10_suffix_array_dedup": passages_sql,
+    "op6_seekable_warc": archive_sql, "op10_suffix_array_dedup": passages_sql, "op12_merkle_manifest": manifest_sql,
 }
