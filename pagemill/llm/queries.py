@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm.ann import ORACLE as ann_sql
 from pagemill.llm.merkle import ORACLE as manifest_sql
 from pagemill.llm.ngram_join import ORACLE as join_sql
+from pagemill.llm.prefix_trie import ORACLE as trie_sql
 from pagemill.llm.quality_rules import ORACLE as rules_sql
 from pagemill.llm.suffix_dedup import ORACLE as passages_sql
 from pagemill.llm.warc import ORACLE as archive_sql
@@ -79,20 +80,33 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_read(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.license_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagemill.llm.merkle import manifest
 
     return manifest(_read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagemill.llm.prefix_trie import trie
+
+    return trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_sentencepiece_viterbi, op3_block_matrix_neighbours, op4_secret_scan, op5_line_frequency_rules,
-        op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup, op12_merkle_manifest,
+        op6_seekable_warc, op7_hilbert_packing, op8_language_evidence, op9_additive_quality_model, op10_suffix_array_dedup, op11_license_scan, op12_merkle_manifest,
+        op13_conversation_prefix_trie,
     )
 }
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": join_sql, "op3_block_matrix_neighbours": ann_sql, "op5_line_frequency_rules": rules_sql,
-    "op6_seekable_warc": archive_sql, "op10_suffix_array_dedup": passages_sql, "op12_merkle_manifest": manifest_sql,
+    "op6_seekable_warc": archive_sql, "op10_suffix_array_dedup": passages_sql, "op12_merkle_manifest": manifest_sql, "op13_conversation_prefix_trie": trie_sql,
 }
