@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.quality_rules import let
 from pagemill.llm.spark import cut
 from pagemill.operators.scan import numbered
 
@@ -64,11 +65,20 @@ def _collapsed(nodes: DataFrame, key: list[str], fan: int, levels: int, extra: t
     fewer = lambda a, _: F.when(a["left"] > 1, F.struct((a["k"] + 1).alias("k"), F.floor((a["left"] + fan - 1) / fan).alias("left"))).otherwise(a)
     need = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.struct(F.lit(0).alias("k"), F.col("n").alias("left")), fewer, lambda a: a["k"])
     turns = F.when(F.col("todo") > 0, F.sequence(F.lit(1), F.col("todo"))).otherwise(F.array().cast("array<int>"))
-    tree = F.aggregate(turns, F.array(F.transform("leaves", lambda x: x["node"])), lambda acc, _: F.concat(acc, F.array(_runs(F.element_at(acc, -1), fan))))
-    b = blocks.withColumn("todo", F.when(F.col("n") > size, levels).otherwise(need)).withColumn("tree", tree)
-    b = b.withColumn("steps", F.transform(F.slice("tree", 1, F.col("todo")), lambda level: _steps(level, fan)))
-    path = lambda i: F.transform("steps", lambda level, l: F.get(level, F.floor(i / F.pow(F.lit(fan), l)).cast("int")))
-    return b.select(*key, "block", F.element_at(F.element_at("tree", -1), 1).alias("top"), "n", F.transform("leaves", lambda x, i: F.struct(path(i).alias("path"), *[x[c].alias(c) for c in ("pos", "node", *extra)])).alias("nodes"))
+    powers = F.array(*[F.lit(fan**l) for l in range(levels)])
+    b = blocks.withColumn("todo", F.when(F.col("n") > size, levels).otherwise(need))
+
+    def entries(steps: Column) -> Column:
+        path = lambda i: F.transform(steps, lambda level, l: F.get(level, F.floor(i / F.get(powers, l)).cast("int")))
+        return F.transform("leaves", lambda x, i: F.struct(path(i).alias("path"), *[x[c].alias(c) for c in ("pos", "node", *extra)]))
+
+    def whole(tree: Column) -> Column:
+        steps = F.transform(F.slice(tree, 1, F.col("todo")), lambda level: _steps(level, fan))
+        return F.struct(F.element_at(F.element_at(tree, -1), 1).alias("top"), let(steps, entries).alias("nodes"))
+
+    # let: the levels and their steps are made once a block, not once a leaf
+    tree = F.aggregate(turns, F.array(F.transform("leaves", lambda x: x["node"])), lambda acc, _: F.concat(acc, F.array(let(F.element_at(acc, -1), lambda level: _runs(level, fan)))))
+    return b.select(*key, "block", "n", let(tree, whole).alias("b")).select(*key, "block", "n", "b.top", "b.nodes")
 
 
 def passes(nodes: DataFrame, key: list[str], fan: int = 2, levels: int = LEVELS, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
