@@ -9,6 +9,7 @@ template is a span. Memory follows a slice of a few MB, and a few bytes a word o
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -263,14 +264,23 @@ def spans_of(found: dict[int, list[tuple[int, int, list[int]]]], templates: list
 
     ``found``: matches by template. A span that lies mostly in one that covers more words is left out.
     """
-    all_chains = [(c, n, first, size, templates[k][0]) for k, m in found.items() for first, size, c in chains(m, templates[k][1]) for n in (templates[k][1],)]
-    best = max((c / n for c, n, *_ in all_chains), default=0.0)
-    kept: list[tuple[int, int, int, int, str]] = []
-    for x in sorted((x for x in all_chains if x[0] >= covered * x[1]), key=lambda x: (-x[0], x[1], x[4], x[2])):
-        inside = lambda y: min(x[2] + x[3], y[2] + y[3]) - max(x[2], y[2])
-        if not any(y[0] > x[0] and 2 * inside(y) > x[3] for y in kept):
-            kept.append(x)
-    return sorted({(label, first, size, c / n) for c, n, first, size, label in kept}, key=lambda s: (s[1], s[0])), best
+    made = [(c, templates[k][1], first, size, templates[k][0]) for k, m in found.items() for first, size, c in chains(m, templates[k][1])]
+    best = max((c / n for c, n, *_ in made), default=0.0)
+    full = [x for x in made if x[0] >= covered * x[1]]
+    reach = max((x[3] for x in full), default=0)
+    kept: list[tuple[int, int, int]] = []  # first word, words, covered words; by first word
+    out = set()
+    for c, n, first, size, label in sorted(full, key=lambda x: (-x[0], x[1], x[4], x[2])):
+        at = bisect_left(kept, (first - reach,))
+        hidden = False
+        while at < len(kept) and kept[at][0] < first + size and not hidden:
+            start, other, more = kept[at]
+            hidden = more > c and 2 * (min(first + size, start + other) - max(first, start)) > size
+            at += 1
+        if not hidden:
+            insort(kept, (first, size, c))
+            out.add((label, first, size, c / n))
+    return sorted(out, key=lambda s: (s[1], s[0])), best
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,length:long,coverage:double>>"
