@@ -86,13 +86,11 @@ class Pieces:
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """ids of words; equal-length words are searched together."""
-        out: list = [None] * len(words)
         stretches: list[str] = []
-        owner: list[int] = []
-        for i, w in enumerate(words):
-            for part in self._stretches(w) if len(w) > LONG else [w]:
-                stretches.append(part)
-                owner.append(i)
+        first = []
+        for w in words:
+            first.append(len(stretches))
+            stretches += self._stretches(w) if len(w) > LONG else [w]
         found: list = [None] * len(stretches)
         size = np.array([len(w) for w in stretches])
         for length in np.unique(size):
@@ -103,9 +101,7 @@ class Pieces:
                 codes = np.frombuffer("".join(stretches[i] for i in part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
                 for i, ids in zip(part, self._search(codes) if length <= LINEAR else [self._walk(c) for c in codes]):
                     found[i] = ids
-        for i, ids in zip(owner, found):
-            out[i] = ids if out[i] is None else [*([out[i]] if isinstance(out[i], np.ndarray) else out[i]), ids]
-        return [np.concatenate(x) if isinstance(x, list) else x for x in out]
+        return [found[a] if b == a + 1 else np.concatenate(found[a:b]) for a, b in zip(first, [*first[1:], len(stretches)])]
 
     def _stretches(self, word: str) -> list[str]:
         """The word, cut at each place that no piece of two characters or more reaches over."""

@@ -90,3 +90,19 @@ def test_same_length_words_share_a_search():
     words = ["▁the", "▁abc", "▁été", "▁the"]
     assert [x.tolist() for x in m.viterbi(words)] == [m.viterbi([w])[0].tolist() for w in words]
     assert np.array_equal(m.viterbi(["▁" + "ab" * 40])[0], m._walk(np.frombuffer(("▁" + "ab" * 40).encode("utf-32-le"), np.uint32)))
+
+
+def test_a_word_of_a_megabyte_of_many_stretches():
+    """Unspaced Japanese, hexadecimal, base64 and a repeated pair: linear in the word, and the ids of one search of the whole word."""
+    import base64
+
+    m = pieces(P.path("piece_bpe_32k.model"))
+    r = random.Random(5)
+    kana = "".join(chr(r.choice([*range(0x3041, 0x3097), *range(0x4E00, 0x4E80)])) for _ in range(340_000))
+    for t in (kana, r.randbytes(500_000).hex(), base64.b64encode(r.randbytes(750_000)).decode(), "ab" * 500_000):
+        start = time.time()
+        x = m.viterbi([t])[0]
+        assert time.time() - start < 20
+        part = t[:60_000]
+        assert m.viterbi([part])[0].tolist() == m._walk(np.frombuffer(part.encode("utf-32-le"), np.uint32)).tolist()
+        assert m.decode(m.encode([t])[0]) == t and len(x) > 100_000
