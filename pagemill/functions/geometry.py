@@ -53,5 +53,6 @@ def normalise_box(box: Column) -> Column:
     return F.struct(left.alias("left"), bottom.alias("bottom"), right.alias("right"), top.alias("top"), (right - left).alias("width"), (top - bottom).alias("height"))
 
 
-def has_vector_content(ops: Column, least: int = 10) -> Column:
-    return F.size(F.filter(ops, lambda o: o.isin(*PATH_OPERATORS))) > least
+def has_vector_content(op: Column, least: int = 10) -> Column:
+    """An aggregate over a page's operators, one a row: more than ``least`` of them are path operators."""
+    return F.count_if(op.isin(*PATH_OPERATORS)) > least

@@ -21,9 +21,8 @@ def enumerate_nodes(nodes: DataFrame, leaves_only: bool = True) -> DataFrame:
     """
     n = cut(numbered(nodes.select("doc_id", "id", "parent", "place"), ["doc_id", "parent"], ["place", "id"], "k").select("doc_id", "id", "parent", "k"))
     kid = n.where("k = 0 and parent is not null").select("doc_id", F.col("parent").alias("id"), F.col("id").alias("kid"))
-    after = n.select("doc_id", "parent", (F.col("k") - 1).alias("k"), F.col("id").alias("next"))
-    same = [n["doc_id"].eqNullSafe(after["doc_id"]), n["parent"].eqNullSafe(after["parent"]), n["k"] == after["k"]]
-    n = n.join(after, same, "left").select(n["doc_id"], "id", n["parent"], "next").join(kid, ["doc_id", "id"], "left")
+    after = n.select(F.col("doc_id").alias("_d"), F.col("parent").alias("_p"), (F.col("k") - 1).alias("_k"), F.col("id").alias("next"))
+    n = n.join(after, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("parent").eqNullSafe(F.col("_p")) & (F.col("k") == F.col("_k")), "left").join(kid, ["doc_id", "id"], "left")
     counts = F.col("kid").isNull() if leaves_only else F.lit(True)
     # side 0: entered, 1: left, 2: the end of the list
     entered = n.select("doc_id", "id", F.lit(0).alias("side"), F.coalesce("kid", "id").alias("to"), F.when(F.col("kid").isNull(), 1).otherwise(0).alias("to_side"), F.when(counts, 1).otherwise(0).cast("long").alias("w"), counts.alias("counts"))

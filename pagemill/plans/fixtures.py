@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import data_url
+from pagemill.operators.scan import numbered
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,13 +14,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents of a source as its pages: a running head, a numbered foot, every seventh page bare."""
-    read(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
-    return spark.sql("""
-        SELECT doc_id, page, page_count, CASE WHEN page % 7 = 0 THEN text
-               ELSE concat('Collected papers of ', doc_id, '\n', text, '\nPage ', page, ' of ', page_count) END AS text
-        FROM (SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS page,
-                     count(*) OVER (PARTITION BY source) AS page_count, coalesce(text, '') AS text FROM _documents)""")
+    """documents of a source as its pages: a running head, a numbered foot, every seventh page bare.
+
+    Pages are numbered without the texts, which join their numbers by the table's key.
+    """
+    d = read(spark, sf_dir, "documents")
+    n = numbered(d.select("doc_id", F.col("source").alias("_source")), ["_source"], ["doc_id"], "page", "page_count").select("doc_id", (F.col("page") + 1).alias("page"), "page_count")
+    text = F.coalesce("text", F.lit(""))
+    of = F.concat(F.lit("Collected papers of "), F.col("source"), F.lit("\n"), text, F.lit("\nPage "), F.col("page").cast("string"), F.lit(" of "), F.col("page_count").cast("string"))
+    return d.join(n, "doc_id").select(F.col("source").alias("doc_id"), "page", "page_count", F.when(F.col("page") % 7 == 0, text).otherwise(of).alias("text"))
 
 
 def conv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +97,34 @@ def cascade_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_pages = b.select(F.lit("read").alias("doc_id"), F.col("item_id").alias("page"), F.lit(" \n\t").alias("native"), F.col("text").alias("ocr_text"), none.alias("rendered_text"), F.lit(False).alias("has_form"), odd.alias("has_vector"))
     drawn_pages = b.select(F.lit("drawn").alias("doc_id"), F.col("item_id").alias("page"), none.alias("native"), F.lit("").alias("ocr_text"), F.col("text").alias("rendered_text"), odd.alias("has_form"), F.lit(False).alias("has_vector"))
     return native.unionByName(read_pages).unionByName(drawn_pages)
+
+
+def objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References, and the relation of objects that they lead into: orders refer to the order before or to their customer, customers to
+    nations, some in a circle or nowhere. What refers: each order's object, and each event by a number in its properties."""
+    key = F.col("o_orderkey")
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    ref = lambda c: F.to_json(F.struct(c.alias("ref")))
+    o = read(spark, sf_dir, "orders").select(name("o", key).alias("id"), ref(F.when(key % 64 != 0, name("o", key - 1)).otherwise(name("c", F.col("o_custkey")))).alias("json"))
+    k = F.col("c_custkey")
+    to = F.when(k % 50 == 1, name("c", k + 1)).when(k % 50 == 2, name("c", k - 1)).when(k % 50 == 3, F.lit("n99")).otherwise(name("n", F.col("c_nationkey")))
+    c = read(spark, sf_dir, "customer").select(name("c", k).alias("id"), ref(to).alias("json"))
+    n = read(spark, sf_dir, "nation").select(name("n", F.col("n_nationkey")).alias("id"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("json"))
+    book = lambda df: df.withColumn("doc_id", F.lit("book"))
+    table = book(o.unionByName(c).unionByName(n)).select("doc_id", "id", F.parse_json("json").alias("value"))
+    said = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    refs = read(spark, sf_dir, "events").select(name("e", F.col("event_id")).alias("source"), name("c", said).alias("id")).unionByName(o.select(F.col("id").alias("source"), "id"))
+    return book(refs), table
+
+
+def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a priority as a tree: a spine with a leaf at each node for the lowest, for others a node below that of half its number or the one before."""
+    o = numbered(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_custkey"), ["o_orderpriority"], ["o_orderkey"], "k")
+    k = F.col("k")
+    up = F.when(k == 0, None).when((k % 4 == 1) | ((F.col("o_orderpriority") == "5-LOW") & (k % 2 == 1)), k - 1).when(F.col("o_orderpriority") == "5-LOW", k - 2).otherwise(F.floor(k / 2))
+    return o.select(F.col("o_orderpriority").alias("doc_id"), k.alias("id"), up.cast("long").alias("parent"), (F.col("o_custkey") % 7).cast("long").alias("place"))
+
+
+def coded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as two very long rows of bytes, each coded as the difference from the one before."""
+    return read(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("long") * 7 - 100).alias("delta"))

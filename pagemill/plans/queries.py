@@ -12,8 +12,12 @@ from pagemill.functions import text as T
 from pagemill.operators import boxes as B
 from pagemill.operators import cascade as C
 from pagemill.operators import relations as R
+from pagemill.operators.references import dereference
+from pagemill.operators.scan import recurrence, running
 from pagemill.operators.structure import structured_text as structure
+from pagemill.operators.trees import enumerate_nodes
 from pagemill.plans import fixtures as X
+from pagemill.plans.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -258,8 +262,7 @@ SELECT doc_id, count(*) FILTER (op IN ('m','l','c','v','y','h','re','S','s','f',
 def vector_pages(spark, sf_dir):
     op = F.col("event_type")
     op = F.when(op == "click", "re").when(op == "view", "Tj").when(op == "purchase", "f*").otherwise(op)
-    ops = X.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.collect_list(op).alias("ops"))
-    return ops.select("doc_id", G.has_vector_content(F.col("ops")).alias("has_vector"))
+    return X.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(G.has_vector_content(op).alias("has_vector"))
 
 
 _SPACES = ("DeviceRGB", "DeviceGray", "DeviceCMYK", "ICCBased1", "ICCBased4", "Indexed", "CalGray")
@@ -304,3 +307,47 @@ def document_summary(spark, sf_dir):
     j = p.join(count(X.web_images(spark, sf_dir), "total_images", "image_pages"), "doc_id", "left").join(count(X.annotations(spark, sf_dir), "total_annotations", "annotation_pages"), "doc_id", "left")
     none = F.array().cast("array<long>")
     return j.select("doc_id", "page_count", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total_images", "total_annotations")], *[F.coalesce(c, none).alias(c) for c in ("image_pages", "annotation_pages")])
+
+
+@query("""WITH RECURSIVE ob AS (
+  SELECT 'o' || o_orderkey AS id, CASE WHEN o_orderkey % 64 <> 0 THEN 'o' || (o_orderkey - 1) ELSE 'c' || o_custkey END AS ref, NULL::VARCHAR AS name FROM orders
+  UNION ALL SELECT 'c' || c_custkey, CASE c_custkey % 50 WHEN 1 THEN 'c' || (c_custkey + 1) WHEN 2 THEN 'c' || (c_custkey - 1) WHEN 3 THEN 'n99' ELSE 'n' || c_nationkey END, NULL FROM customer
+  UNION ALL SELECT 'n' || n_nationkey, NULL, n_name FROM nation),
+w AS (SELECT id, ref, name, 0 AS hops FROM ob UNION ALL SELECT w.id, ob.ref, ob.name, hops + 1 FROM w JOIN ob ON w.ref = ob.id WHERE hops < 100),
+f AS (SELECT id, name, hops FROM w WHERE ref IS NULL),
+r AS (SELECT 'e' || event_id AS source, 'c' || CAST(props::JSON->>'k' AS BIGINT) AS id FROM events UNION ALL SELECT 'o' || o_orderkey, 'o' || o_orderkey FROM orders)
+SELECT source, r.id, CAST(hops AS BIGINT) AS hops, name FROM r LEFT JOIN f ON r.id = f.id""")
+def reference_chains(spark, sf_dir):
+    refs, objects = X.objects(spark, sf_dir)
+    return dereference(cut(refs), objects).select("source", "id", "hops", F.try_variant_get("value", "$.name", "string").alias("name"))
+
+
+_ORDER_TREE = """WITH RECURSIVE o AS (SELECT o_orderpriority AS doc_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS id, o_custkey % 7 AS place FROM orders),
+t AS (SELECT *, CASE WHEN id = 0 THEN NULL WHEN id % 4 = 1 OR (doc_id = '5-LOW' AND id % 2 = 1) THEN id - 1 WHEN doc_id = '5-LOW' THEN id - 2 ELSE id // 2 END AS parent FROM o),
+w AS (SELECT doc_id, id, [place, id] AS path FROM t WHERE parent IS NULL UNION ALL SELECT t.doc_id, t.id, w.path || [t.place, t.id] FROM w JOIN t ON t.doc_id = w.doc_id AND t.parent = w.id)"""
+
+
+@query(_ORDER_TREE + """
+SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS page FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.parent = w.id)""")
+def tree_pages(spark, sf_dir):
+    return enumerate_nodes(X.order_trees(spark, sf_dir))
+
+
+@query(_ORDER_TREE + " SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS page FROM w")
+def tree_reading_order(spark, sf_dir):
+    return enumerate_nodes(X.order_trees(spark, sf_dir), leaves_only=False)
+
+
+@query("""WITH r AS (SELECT l_linestatus, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) * 7 - 100 AS delta FROM lineitem)
+SELECT l_linestatus, l_orderkey, l_linenumber, delta, CAST((sum(delta) OVER (PARTITION BY l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, delta ROWS UNBOUNDED PRECEDING) % 256 + 256) % 256 AS BIGINT) AS decoded FROM r""")
+def predictor_rows(spark, sf_dir):
+    rows = recurrence(X.coded_rows(spark, sf_dir), ["l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "delta"], "delta")
+    return rows.select("l_linestatus", "l_orderkey", "l_linenumber", "delta", "decoded")
+
+
+@query("""SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n,
+CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_large FROM events""")
+def event_numbers(spark, sf_dir):
+    one = F.lit(1).cast("long")
+    e = running(X.read(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], {"place": one, "n_large": F.when(F.col("value") > 20, one)}, {"n": one})
+    return e.select("event_type", "event_id", (F.col("place") - 1).alias("place"), "n", "n_large")
