@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.plans.session import cut
 
+#: A key is heavy if more than one in SHARE rows, and more than LEAST, hold it: at most SHARE keys are.
+SHARE, LEAST, SPREAD = 1000, 4096, 64
 
-def heavy_keys(rows: DataFrame, on: list[str], share: int = 1000, least: int = 4096) -> DataFrame:
+
+def heavy_keys(rows: DataFrame, on: list[str], share: int = SHARE, least: int = LEAST) -> DataFrame:
     """Keys that more than one in ``share`` rows (and more than ``least``) hold: at most ``share`` of them, written."""
     counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
     total = rows.count()
     return cut(counts.where(F.col("_n") > max(least, total // share)).drop("_n"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], spread: int = 64, share: int = 1000, least: int = 4096) -> DataFrame:
-    """Left join of ``rows`` (a scan or written table) to ``table``, which has one row per key; a null key finds nothing.
+def _meet(a: DataFrame, b: DataFrame, on: list[str], null_safe: bool, how: str) -> DataFrame:
+    """Join by equal columns; the right side's keys are not kept."""
+    if not null_safe:
+        return a.join(b, on, how)
+    other = b.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    return a.join(other, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on], how).drop(*[f"_right_{c}" for c in on])
+
+
+def lookup(
+    rows: DataFrame, table: DataFrame, on: list[str], heavy: DataFrame | None = None, number: Column | None = None,
+    null_safe: bool = False, how: str = "left", spread: int = SPREAD, share: int = SHARE, least: int = LEAST,
+) -> DataFrame:
+    """Join of ``rows`` to ``table``, which has one row per key; a null key finds nothing unless ``null_safe``.
 
     Heavy keys, at most ``share``, are broadcast to mark the rows; such a key's row in the table is repeated
-    ``spread`` times and its rows are dealt over the copies. All other keys hold one in ``share`` rows at most.
+    ``spread`` times and its rows are dealt over the copies by ``number``, a value that a row keeps when its task runs again
+    (where it is not given, ``rows`` must be a scan or written table). All other keys hold one in ``share`` rows at most.
     """
-    heavy = F.broadcast(heavy_keys(rows.where(" and ".join(f"`{c}` is not null" for c in on)), on, share, least).withColumn("_many", F.lit(True)))
-    number = F.when(F.col("_many"), F.pmod(F.monotonically_increasing_id(), F.lit(spread))).otherwise(0)
-    left = rows.join(heavy, on, "left").withColumn("_copy", number).drop("_many")
+    if heavy is None:
+        heavy = heavy_keys(rows if null_safe else rows.where(" and ".join(f"`{c}` is not null" for c in on)), on, share, least)
+    heavy = F.broadcast(heavy.withColumn("_many", F.lit(True)))
+    number = F.monotonically_increasing_id() if number is None else number
+    left = _meet(rows, heavy, on, null_safe, "left").withColumn("_copy", F.when(F.col("_many"), F.pmod(number, F.lit(spread))).otherwise(0).cast("long")).drop("_many")
     copies = F.when(F.col("_many"), F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    right = table.join(heavy, on, "left").withColumn("_copy", F.explode(copies)).drop("_many")
-    return left.join(right, [*on, "_copy"], "left").drop("_copy")
+    right = _meet(table, heavy, on, null_safe, "left").withColumn("_copy", F.explode(copies)).drop("_many")
+    return _meet(left, right, [*on, "_copy"], null_safe, how).drop("_copy")
