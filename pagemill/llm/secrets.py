@@ -174,8 +174,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """(text, start, length, 1 for a secret) of findings made by rule, in neighbourhoods of invented words.
+def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int, str]]:
+    """(text, start, length, 1 for a secret, place) of findings made by rule, in neighbourhoods of invented words.
+
+    A third have no place; of the others, one in eight secrets and every second harmless string stand in tests, examples or documentation.
 
     Secrets stand quoted or bare after NAME=, NAME: or NAME, as passwords of addresses, and without
     any name before them. Bare hexadecimal is not among the latter: it is as often a checksum.
@@ -192,7 +194,8 @@ def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, in
     ]
     hexes = lambda: some("0123456789abcdef", r.choice([16, 18, 20, 24, 32, 40, 64]))
     password = lambda: r.choice([lambda: some(alnum + "!#$%*-_?", r.randint(7, 20)), lambda: word().capitalize() + some(string.digits, r.randint(2, 4)) + word() + r.choice("!?#*"), lambda: word().capitalize() + "3" + some(string.ascii_letters, r.randint(3, 5))])()
-    out: list[tuple[str, int, int, int]] = []
+    folders = ["tests", "test", "examples", "fixtures", "samples", "docs", "spec", "vendor"]
+    out: list[tuple[str, int, int, int, str]] = []
     while len(out) < n:
         secret, right = r.random() < 0.5, ""
         name = r.choice(ANNOUNCE)
@@ -237,7 +240,8 @@ def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, in
         head = prose() + " " + left
         text = head + value + (right or ('"' if left.endswith('"') else "'" if left.endswith("'") else ")" if left.endswith("(") else r.choice(["", "", "", ","]))) + " " + prose()
         assert (len(head), len(head) + len(value)) in candidates(text), text
-        out.append((text, len(head), len(value), int(secret)))
+        folder = r.choice(folders) if r.random() < (0.125 if secret else 0.5) else r.choice(["src", "app", "lib", "deploy", "config", word()])
+        out.append((text, len(head), len(value), int(secret), r.choice(["", *2 * [f"{word()}/{folder}/{word()}.{r.choice(['py', 'yml', 'env', 'js', 'txt'])}"]])))
     return out
 
 
@@ -249,7 +253,7 @@ def neutral() -> Background:
 def labelled_findings(n: int = 3000, seed: int = 11, known: Background | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of made findings."""
     known, rows = known or neutral(), made_findings(n, seed)
-    return np.array([describe(t, a, a + k, known) for t, a, k, _ in rows]), np.array([y for *_, y in rows])
+    return np.array([describe(t, a, a + k, known, place) for t, a, k, _, place in rows]), np.array([y for *_, y, _ in rows])
 
 
 class Forest:
@@ -341,7 +345,7 @@ def train(docs: DataFrame, findings: DataFrame | None = None, most: int = 20_000
     """
     known = learn(docs)
     if findings is None:
-        rows = [(*r, "") for r in made_findings(10_000)]
+        rows = made_findings(10_000)
     else:
         place = F.coalesce(F.col("place").cast("string"), F.lit("")) if "place" in findings.columns else F.lit("")
         given = findings.select(F.col("text").cast("string").alias("text"), F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("is_secret").cast("int").alias("y"), place.alias("place"))
