@@ -27,6 +27,8 @@ BITS, DIMS = 10, 3
 #: Cells of the curve that are weighed: what the driver reads has 2^CELL_BITS rows at most.
 CELL_BITS = 15
 LARGE_RANGE = 8 << 20
+#: Ranges of any input: 100 TB make ranges of 1 GB.
+MOST_RANGES = 100_000
 _KEYED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("size", pa.int64()), ("key", pa.int64()), ("salt", pa.int64())])
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -140,11 +142,13 @@ def ranged(keyed: DataFrame, bytes_each: int) -> DataFrame:
 
     The weights of the 2^CELL_BITS cells of the curve come from one grouped sum; so what
     the driver holds has a fixed bound, at every input size. A cell that reaches over more
-    than one range is dealt by salt. Ranges below LARGE_RANGE are no more than the session's partitions.
+    than one range is dealt by salt. Ranges below LARGE_RANGE are no more than the session's partitions,
+    and all are MOST_RANGES at most: beyond that they grow (a range is sorted, with spills, and packed as a stream).
     """
     cell = F.shiftright("key", BITS * DIMS - CELL_BITS).cast("int")
     weights = keyed.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).collect()
-    each = max(bytes_each, min(LARGE_RANGE, -(-sum(r["size"] for r in weights) // int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    total = sum(r["size"] for r in weights)
+    each = max(bytes_each, min(LARGE_RANGE, -(-total // int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))), -(-total // MOST_RANGES))
     deal = range_table([(r["cell"], r["size"]) for r in weights], each)
     n = deal[-1][1] + deal[-1][2] if deal else 1
     where = F.broadcast(keyed.sparkSession.createDataFrame(deal, "cell int, first long, many long"))
