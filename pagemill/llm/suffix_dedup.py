@@ -61,12 +61,29 @@ def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _parse(parts: int, width: int):
+def bases(size: int, most: int) -> Iterator[int]:
+    """Where the parts of a text begin: windows that start within ``most`` bytes are ordered together, of a longer text as of several short ones."""
+    yield from range(0, max(size, 1), most) if size > 2 * most else [0]
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(ids, bytes, offsets, base) of slices; a very long text comes in parts that overlap by all but one byte of a window."""
+    for rows, data, off in slices(batches, most=most):
+        ids = ids_of(rows)
+        if len(ids) > 1:
+            yield ids, data, off, 0
+            continue
+        starts = [*bases(len(data), most), len(data)]
+        for a, b in zip(starts, starts[1:]):
+            part = data[a : b + width - 1]
+            yield ids, part, np.array([0, len(part)]), a
+
+
+def _parse(parts: int, width: int, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for rows, data, off in slices(batches, most=BLOCK):
+        for ids, data, off, base in _blocks(batches, width, most):
             block += 1
-            ids = ids_of(rows)
             again = repeated(data, off, np.unique(ids, return_inverse=True)[1], np.zeros(len(ids), np.int64), width)
             first, last, owner, key = phrases(data, off, width)
             if not len(first):
@@ -80,13 +97,13 @@ def _parse(parts: int, width: int):
             part = part[order]
             at = runs(part)
             ends = np.append(at[1:], len(part))
-            cols = [key[order].view(np.uint16).reshape(-1, 4)[:, :3], content[order], ids[owner][order], (first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
+            cols = [key[order].view(np.uint16).reshape(-1, 4)[:, :3], content[order], ids[owner][order], (base + first - off[owner])[order].astype(np.uint32), (last - first + 1)[order].astype(np.uint8)]
             out = {"part": part[at].astype(np.int32).tolist(), "block": [block] * len(at), "local": [None] * len(at)} | {name: [c[i:j].tobytes() for i, j in zip(at, ends)] for name, c in zip(("key", "content", "doc", "lo", "len"), cols)}
             lo, hi = runs_of(again)
             if len(lo):
                 own = np.searchsorted(off, lo, "right") - 1
                 spans = np.zeros(len(lo), _LOCAL)
-                spans["doc"], spans["lo"], spans["n"] = ids[own], lo - off[own], hi - lo
+                spans["doc"], spans["lo"], spans["n"] = ids[own], base + lo - off[own], hi - lo
                 out["part"].append(int(mix(np.array([block], U64))[0] >> U64(33)) % parts)
                 out["block"].append(block)
                 out["local"].append(spans.tobytes())
@@ -177,25 +194,30 @@ def join_spans(lo: np.ndarray, hi: np.ndarray) -> bytes:
     return s.tobytes()
 
 
-def _border_bytes(parts: int, width: int):
+def _border_bytes(parts: int, width: int, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches, "text"):
             ids, out = ids_of(rows), {f.name: [] for f in _D}
             for i, packed in enumerate(rows.column(rows.schema.get_field_index("border")).to_pylist()):
-                raw = data[off[i] : off[i + 1]]
-                first, last, _, key = phrases(raw, np.array([0, len(raw)]), width)
-                seg = np.frombuffer(packed, _BORDER)
-                at = np.searchsorted(first, seg["lo"])
-                ok = (at < len(first)) & (first[np.minimum(at, len(first) - 1)] == seg["lo"]) if len(first) else np.zeros(len(seg), bool)
-                h = prefix_hash(raw) if ok.any() else None
-                for s, k in zip(seg[ok], at[ok]):
-                    lo, n = int(s["lo"]), int(s["n"])
-                    spread = range_hash(h, np.array([lo]), np.array([lo + n - 1 + width])) if s["hot"] else mix(key[k : k + 1])
-                    out["part"].append(int(spread[0] >> U64(20)) % parts)
-                    out["doc_id"].append(int(ids[i]))
-                    out["lo"].append(lo)
-                    out["hot"].append(bool(s["hot"]))
-                    out["bytes"].append(raw[lo : lo + n - 1 + width].tobytes())
+                whole, seg = data[off[i] : off[i + 1]], np.frombuffer(b"".join(packed), _BORDER)
+                starts = [*bases(len(whole), most), len(whole)]
+                for a, b in zip(starts, starts[1:]):
+                    mine = seg[(seg["lo"] >= a) & (seg["lo"] < b)]
+                    if not len(mine):
+                        continue
+                    raw = whole[a : b + width - 1]
+                    first, last, _, key = phrases(raw, np.array([0, len(raw)]), width)
+                    at = np.searchsorted(first, mine["lo"] - a)
+                    ok = (at < len(first)) & (first[np.minimum(at, len(first) - 1)] == mine["lo"] - a) if len(first) else np.zeros(len(mine), bool)
+                    h = prefix_hash(raw) if ok.any() else None
+                    for s, k in zip(mine[ok], at[ok]):
+                        lo, n = int(s["lo"]) - a, int(s["n"])
+                        spread = range_hash(h, np.array([lo]), np.array([lo + n - 1 + width])) if s["hot"] else mix(key[k : k + 1])
+                        out["part"].append(int(spread[0] >> U64(20)) % parts)
+                        out["doc_id"].append(int(ids[i]))
+                        out["lo"].append(a + lo)
+                        out["hot"].append(bool(s["hot"]))
+                        out["bytes"].append(raw[lo : lo + n - 1 + width].tobytes())
             yield batch(out, _D)
 
     return run
@@ -271,14 +293,14 @@ def _cut_out(width: int, keep: list[str], schema: pa.Schema, text_out: bool):
     return run
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, hot: int = 1000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, width: int = 100, hot: int = 1000, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(spans of whole repeated phrases, spans of single repeated windows): doc_id, packed spans of window starts."""
     parts = part_count(docs)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    met = src.mapInArrow(tidy(_parse(parts, width)), ddl(_A)).groupBy("part").applyInArrow(_meet(hot), ddl(_B))
+    met = src.mapInArrow(tidy(_parse(parts, width, block)), ddl(_A)).groupBy("part").applyInArrow(_meet(hot), ddl(_B))
     per_doc = cut(met.groupBy("block").applyInArrow(_by_document, ddl(_C)))
-    border = per_doc.where("border is not null").select("doc_id", "border")
-    ordered = cut(src.join(border, "doc_id").mapInArrow(tidy(_border_bytes(parts, width)), ddl(_D)).groupBy("part").applyInArrow(_corpus_order(width), ddl(_E)))
+    border = per_doc.where("border is not null").groupBy("doc_id").agg(F.collect_list("border").alias("border"))
+    ordered = cut(src.join(border, "doc_id").mapInArrow(tidy(_border_bytes(parts, width, block)), ddl(_D)).groupBy("part").applyInArrow(_corpus_order(width), ddl(_E)))
     once = ordered.where("n = 0").select("doc_id", "lo", "h1", "h2")
     least = once.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("f"), F.count("*").alias("m")).where("m > 1").select("h1", "h2", "f")
     again = once.join(least, ["h1", "h2"]).where("doc_id <> f.doc_id or lo <> f.lo").select("doc_id", "lo", F.lit(1).cast("long").alias("n"))
@@ -286,7 +308,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, hot: int = 1000) -> tuple[
     return per_doc.where("repeats is not null").select("doc_id", "repeats"), singles
 
 
-def dedup(docs: DataFrame, width: int = 100, hot: int = 1000, text_out: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 100, hot: int = 1000, text_out: bool = False, block: int = BLOCK) -> DataFrame:
     """Cut every byte covered by a ``width``-byte string that also starts earlier.
 
     Earlier means a smaller doc_id, or the same document and an earlier start;
@@ -297,7 +319,7 @@ def dedup(docs: DataFrame, width: int = 100, hot: int = 1000, text_out: bool = F
     with ``text_out`` (clashing count columns are replaced). With ``text_out``,
     a character that loses some of its bytes is dropped, so the text stays UTF-8.
     """
-    whole, singles = repeated_spans(docs, width, hot)
+    whole, singles = repeated_spans(docs, width, hot, block)
     # little-endian words, as the packed spans hold them
     le = lambda c: F.concat(*[F.unhex(F.substring(F.lpad(F.hex(c), 8, "0"), 7 - 2 * k, 2)) for k in range(4)])
     one = F.concat(le("lo"), le("n"))

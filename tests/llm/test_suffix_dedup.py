@@ -64,6 +64,17 @@ def test_spread_triggers(spark):
     check(spark, texts(2, 60), hot=2)
 
 
+def test_texts_in_parts(spark):
+    """Texts of more than two blocks are ordered part by part, with the same result; so is one of 24 MB."""
+    rows = texts(3, 40) + [(500, "ab" * 900 + texts(4, 2)[1][1] * 3), (501, None)]
+    check(spark, rows, block=150)
+    check(spark, rows, block=150, hot=2)
+    r = random.Random(1)
+    unit = "".join(r.choice("abcdefgh ") for _ in range(3_000_000))
+    (got,) = dedup(spark.createDataFrame([(1, unit * 8)], "doc_id long, text string")).collect()
+    assert (got.n_removed, got.n_spans, got.kept_sha256) == (21_000_000, 1, hashlib.sha256(unit.encode()).hexdigest())
+
+
 def test_edges(spark):
     assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     row = (7, "some text, twice " * 20)
