@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import normalise_box, valid_box
+from pagemill.operators.ranges import except_ranges, page_ranges, pages_of
+from pagemill.plans.session import cut
 
 GEOMETRY = ("left", "bottom", "right", "top", "width", "height")
 
@@ -39,3 +41,35 @@ def expand_boxes(boxes: DataFrame) -> DataFrame:
     listed = F.flatten(F.collect_list(F.coalesce("pages", F.array().cast("array<long>"))).over(Window.partitionBy("doc_id")))
     pages = F.coalesce("pages", F.array_except(F.sequence(F.lit(1).cast("long"), F.col("page_count")), F.col("listed")))
     return boxes.withColumn("listed", listed).select("doc_id", F.explode(pages).alias("page"), *GEOMETRY, "box_type")
+
+
+def box_ranges(geometry: DataFrame, listed_only: bool = False) -> DataFrame:
+    """page_boxes with page ranges for lists: doc_id, box_index, geometry, box_type, dominant, first, last; a row a range.
+
+    The dominant box's pages are no list: they are what the other boxes leave of 1 to the page count (``listed_only``
+    leaves them out, as null pages do). So no row grows with the number of pages.
+    """
+    corners = [F.col(c).cast("string").alias(f"_{c}") for c in GEOMETRY[:4]]
+    g = cut(geometry.select("*", *corners))
+    key = ["doc_id", *[f"_{c}" for c in GEOMETRY[:4]], "box_type"]
+    groups = g.groupBy(*key).agg(*[F.first(c).alias(c) for c in GEOMETRY], F.count("*").alias("n"), F.min("page").alias("first_page"))
+    doc = Window.partitionBy("doc_id")  # a row a box
+    ranked = groups.withColumn("dominant", F.row_number().over(doc.orderBy(F.desc("n"), F.desc("first_page"))) == 1).withColumn("box_index", F.row_number().over(doc.orderBy("first_page")).cast("long"))
+    boxes = cut(ranked.withColumn("page_count", F.sum("n").over(doc).cast("long")))
+    names = boxes.select(*[F.col(c).alias(f"_k{c}") for c in key], "box_index", "dominant")
+    found = page_ranges(g, key)
+    listed = found.join(names, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in key]).where("not dominant")
+    listed = cut(listed.select("doc_id", "box_index", "first", "last"))
+    parts = listed
+    if not listed_only:
+        whole = boxes.where("dominant").select("doc_id", F.lit(1).cast("long").alias("first"), F.col("page_count").alias("last"))
+        rest = except_ranges(whole, listed.select("doc_id", "first", "last"), ["doc_id"])
+        top = boxes.where("dominant").select(F.col("doc_id").alias("_d"), "box_index")
+        parts = listed.unionByName(rest.join(top, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "box_index", "first", "last"))
+    b = boxes.select(F.col("doc_id").alias("_d"), F.col("box_index").alias("_i"), *GEOMETRY, "box_type", "dominant")
+    return parts.join(b, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("box_index") == F.col("_i"))).select("doc_id", "box_index", *GEOMETRY, "box_type", "dominant", "first", "last")
+
+
+def expand_ranges(ranges: DataFrame) -> DataFrame:
+    """The geometry of each page of box_ranges."""
+    return pages_of(ranges.select("doc_id", *GEOMETRY, "box_type", "first", "last")).select("doc_id", "page", *GEOMETRY, "box_type")

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 
 from pagemill.plans.session import cut
 
-#: Bytes of a range, by Catalyst's estimate of the frame; at least spark.sql.shuffle.partitions ranges are made.
-RANGE = 64 << 20
+#: Bytes of a range; at least spark.sql.shuffle.partitions ranges are made, and at most MOST.
+RANGE, MOST = 64 << 20, 20_000
 
 
 def ranges(df: DataFrame) -> int:
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(conf, min(size // RANGE, 20_000))
+    """How many ranges a frame is dealt into, by the sizes of what it reads (a leaf of unknown size counts as nothing)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(s for s in sizes if s < 1 << 60) // RANGE, MOST))
+
+
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows in ranges of ``by``, nulls first, sorted within; the ranges' bounds are sampled."""
+    return df.repartitionByRange(ranges(df), *by).sortWithinPartitions(*by)
 
 
 def laid_out(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -28,9 +34,8 @@ def laid_out(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     Equal rows are told apart by a number, so that a group of copies may span ranges too. ``df``
     should be a scan or a written table: the number must not change when a task runs again.
     """
-    by = [*key, *order, "_row"]
-    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges(df), *by).sortWithinPartitions(*by)
-    return cut(dealt.drop("_row").withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_id", 33)))
+    rows = dealt(df.withColumn("_row", F.monotonically_increasing_id()), [*key, *order, "_row"])
+    return cut(rows.drop("_row").withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_id", 33)))
 
 
 def running(df: DataFrame, key: list[str], order: list[str], sums: dict[str, Column], totals: dict[str, Column] | None = None) -> DataFrame:

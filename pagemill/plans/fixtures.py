@@ -128,3 +128,21 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as two very long rows of bytes, each coded as the difference from the one before."""
     return read(spark, sf_dir, "lineitem").select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("long") * 7 - 100).alias("delta"))
+
+
+def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a few documents of very many pages: a flag is a document, and the pages of forty orders change their box twice."""
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    n = numbered(read(spark, sf_dir, "lineitem").select("l_returnflag", *by), ["l_returnflag"], by, "page")
+    at = F.col("l_orderkey") % 40
+    box = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    crop = F.when(at < 5, box(0, 0, 842, 595)).when(at < 9, box(0, 792, 612, 0))
+    return n.select(F.col("l_returnflag").alias("doc_id"), (F.col("page") + 1).alias("page"), crop.alias("crop"), F.when(at == 9, None).otherwise(box(0, 0, 595, 842)).alias("media"))
+
+
+def ordered_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annotations of web pages, and one note for each event; most notes are on few pages."""
+    e = read(spark, sf_dir, "events")
+    notes = e.select(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("doc_id"), F.lit(1).cast("long").alias("page"), F.col("event_type").alias("subtype"), F.col("event_id").alias("annotation_index"))
+    a = annotations(spark, sf_dir)
+    return notes.unionByName(a.select("doc_id", "page", "subtype", F.length(F.coalesce("dest", "uri")).cast("long").alias("annotation_index")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,15 @@ from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 from pagemill.operators import boxes as B
 from pagemill.operators import cascade as C
+from pagemill.operators import ranges as S
 from pagemill.operators import relations as R
 from pagemill.operators.references import dereference
 from pagemill.operators.scan import recurrence, running
 from pagemill.operators.structure import structured_text as structure
 from pagemill.operators.trees import enumerate_nodes
 from pagemill.plans import fixtures as X
-from pagemill.plans.session import cut
+from pagemill.plans.session import cut, shared_folder
+from pagemill.sources.sorted_sink import read_sorted, write_sorted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -351,3 +354,37 @@ def event_numbers(spark, sf_dir):
     one = F.lit(1).cast("long")
     e = running(X.read(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], {"place": one, "n_large": F.when(F.col("value") > 20, one)}, {"n": one})
     return e.select("event_type", "event_id", (F.col("place") - 1).alias("place"), "n", "n_large")
+
+
+_LONG = """r AS (SELECT l_returnflag AS doc_id, l_orderkey % 40 AS k, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS page FROM lineitem),
+g AS (SELECT doc_id, page, CASE WHEN k < 5 THEN 842.0::DOUBLE WHEN k < 9 THEN 612 WHEN k = 9 THEN 0 ELSE 595 END AS width, CASE WHEN k < 5 THEN 595.0::DOUBLE WHEN k < 9 THEN 792 WHEN k = 9 THEN 0 ELSE 842 END AS height,
+  CASE WHEN k < 9 THEN 'CropBox' WHEN k = 9 THEN 'Unknown' ELSE 'MediaBox' END AS box_type FROM r),
+b AS (SELECT doc_id, width, height, box_type, row_number() OVER (PARTITION BY doc_id ORDER BY min(page)) AS box_index, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page) DESC) = 1 AS dominant FROM g GROUP BY doc_id, width, height, box_type),
+i AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, box_type, width ORDER BY page) AS run FROM g)"""
+
+
+@query(f"""WITH {_LONG} SELECT i.doc_id, box_index, i.width, i.height, i.box_type, dominant, min(page) AS "first", max(page) AS "last" FROM i JOIN b ON i.doc_id = b.doc_id AND i.box_type = b.box_type AND i.width = b.width
+GROUP BY i.doc_id, box_index, i.width, i.height, i.box_type, dominant, run""")
+def box_ranges(spark, sf_dir):
+    return B.box_ranges(B.page_geometry(X.long_documents(spark, sf_dir))).select("doc_id", "box_index", "width", "height", "box_type", "dominant", "first", "last")
+
+
+@query(f"WITH {_LONG} SELECT doc_id, page, width, height, box_type FROM g")
+def expand_ranges(spark, sf_dir):
+    return B.expand_ranges(B.box_ranges(B.page_geometry(X.long_documents(spark, sf_dir)))).select("doc_id", "page", "width", "height", "box_type")
+
+
+@query(f"WITH {_ANNOTS}, d AS (SELECT DISTINCT doc_id, subtype, page FROM a) SELECT doc_id, count(DISTINCT page) AS n_pages, count(DISTINCT page) FILTER (subtype = 'GoTo') AS n_goto FROM d GROUP BY doc_id")
+def page_sets(spark, sf_dir):
+    fine = cut(S.page_bitmaps(X.annotations(spark, sf_dir), ["doc_id", "subtype"]))
+    every = S.pages_counted(S.merged_bitmaps(fine, ["doc_id"]), ["doc_id"])
+    return every.join(S.pages_counted(fine.where("subtype = 'GoTo'"), ["doc_id"], "n_goto"), "doc_id", "left").select("doc_id", "n_pages", F.coalesce("n_goto", F.lit(0).cast("long")).alias("n_goto"))
+
+
+@query(f"""WITH {_ANNOTS}, n AS (SELECT 'u' || (user_id % 3) AS doc_id, 1 AS page, event_type AS subtype, event_id AS annotation_index FROM events
+  UNION ALL SELECT doc_id, page, subtype, length(coalesce(dest, uri)) FROM a)
+SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(annotation_index AS BIGINT) AS annotation_index, subtype, row_number() OVER (ORDER BY doc_id, page, annotation_index, subtype) - 1 AS place FROM n""")
+def sorted_annotations(spark, sf_dir):
+    path = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    write_sorted(X.ordered_annotations(spark, sf_dir), path, ["doc_id", "page", "annotation_index", "subtype"])
+    return read_sorted(spark, path).select("doc_id", "page", "annotation_index", "subtype", "place")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a local session takes its checkpoint folder or a temporary one, and a cluster none."""
+    """spark.checkpoint.dir as a full URI; where it is unset, a local session takes its checkpoint folder or a temporary one, and a cluster none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and sc._jsc.sc().getCheckpointDir().isDefined():
@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="pagemill-")
         sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
