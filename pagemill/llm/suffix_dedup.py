@@ -1,6 +1,7 @@
 """Exact removal of repeated passages by prefix-free parsing and suffix order.
 
-1. A block of texts is put in corpus order by prefix-free parsing (pfp.py: dictionary
+1. What may stand twice in a block of texts (windows whose trigger, see 2, the block
+   holds more than once) is put in corpus order by prefix-free parsing (pfp.py: dictionary
    of phrases, its suffix array, that of the parse, both combined). Neighbours that share
    ``width`` bytes are one string; all its places in the block but the first are
    repeats, and go no further.
@@ -79,15 +80,37 @@ def _blocks(batches: Iterable[pa.RecordBatch], width: int, most: int) -> Iterato
             yield ids, part, np.array([0, len(part)]), a
 
 
+def _again(data: np.ndarray, off: np.ndarray, priority: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray, key: np.ndarray, width: int) -> np.ndarray:
+    """Window starts of a block that stand in it earlier, by corpus order of what shares a trigger.
+
+    Equal windows have equal triggers, so a window whose trigger the block holds once stands there once; the others'
+    stretches, joined where they touch, are put in order.
+    """
+    out = np.zeros(len(data), bool)
+    o = np.argsort(key)
+    same = key[o][1:] == key[o][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[o[1:][same]] = twice[o[:-1][same]] = True
+    a, b, own = first[twice], last[twice] + width, owner[twice]
+    if len(a):
+        begin = np.append(True, (a[1:] > b[:-1]) | (own[1:] != own[:-1]))
+        at = np.flatnonzero(begin)
+        a, b, own = a[at], np.maximum.reduceat(b, at), own[at]
+        size = b - a
+        where = np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)
+        out[where] = repeated(data[where], np.append(0, np.cumsum(size)), priority[own], a - off[own], width)
+    return out
+
+
 def _parse(parts: int, width: int, most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for ids, data, off, base in _blocks(batches, width, most):
             block += 1
-            again = repeated(data, off, np.unique(ids, return_inverse=True)[1], np.zeros(len(ids), np.int64), width)
             first, last, owner, key = phrases(data, off, width)
             if not len(first):
                 continue
+            again = _again(data, off, np.unique(ids, return_inverse=True)[1], first, last, owner, key, width)
             fresh = np.append(0, np.cumsum(~again))
             fresh = fresh[last + 1] > fresh[first]
             first, last, owner, key = first[fresh], last[fresh], owner[fresh], key[fresh]
