@@ -146,3 +146,13 @@ def ordered_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = e.select(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("doc_id"), F.lit(1).cast("long").alias("page"), F.col("event_type").alias("subtype"), F.col("event_id").alias("annotation_index"))
     a = annotations(spark, sf_dir)
     return notes.unionByName(a.select("doc_id", "page", "subtype", F.length(F.coalesce("dest", "uri")).cast("long").alias("annotation_index")))
+
+
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of conversations as pages, with '/' and page-count lines put in."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    n = c.groupBy("conv_id").agg(F.count("*").alias("page_count"))
+    total = F.col("page_count").cast("string")
+    text = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n / \n"), total)).when(F.col("turn") % 3 == 1, F.concat(F.lit("/\n"), total, F.lit("\n/\n"), F.col("text"), F.lit("\n/"))).otherwise(F.col("text"))
+    p = c.join(n, "conv_id").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).alias("page"), "page_count", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    return p.withColumn("pos", F.col("pos").cast("long"))

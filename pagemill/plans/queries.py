@@ -14,13 +14,16 @@ from pagemill.operators import boxes as B
 from pagemill.operators import cascade as C
 from pagemill.operators import ranges as S
 from pagemill.operators import relations as R
+from pagemill.operators.assembly import document_chunks as chunks
 from pagemill.operators.references import dereference
 from pagemill.operators.scan import recurrence, running
 from pagemill.operators.structure import structured_text as structure
 from pagemill.operators.trees import enumerate_nodes
 from pagemill.plans import fixtures as X
-from pagemill.plans.session import cut, shared_folder
+from pagemill.plans.session import cut, removed_at_end, shared_folder
+from pagemill.sources.bucketed import load_bucketed, save_bucketed
 from pagemill.sources.sorted_sink import read_sorted, write_sorted
+from pagemill.sources.table_functions import register_table_functions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -385,6 +388,34 @@ def page_sets(spark, sf_dir):
   UNION ALL SELECT doc_id, page, subtype, length(coalesce(dest, uri)) FROM a)
 SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(annotation_index AS BIGINT) AS annotation_index, subtype, row_number() OVER (ORDER BY doc_id, page, annotation_index, subtype) - 1 AS place FROM n""")
 def sorted_annotations(spark, sf_dir):
-    path = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    path = removed_at_end(spark, f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}")
     write_sorted(X.ordered_annotations(spark, sf_dir), path, ["doc_id", "page", "annotation_index", "subtype"])
     return read_sorted(spark, path).select("doc_id", "page", "annotation_index", "subtype", "place")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, CAST(count(*) OVER (PARTITION BY conv_id) AS VARCHAR) AS n FROM conversations),
+t AS (SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn + 1 AS page, n, string_split(CASE turn % 3 WHEN 0 THEN text || chr(10) || ' / ' || chr(10) || n WHEN 1 THEN '/' || chr(10) || n || chr(10) || '/' || chr(10) || text || chr(10) || '/' ELSE text END, chr(10)) AS l FROM c),
+u AS (SELECT doc_id, page, n, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM t),
+k AS (SELECT *, {_TRIM('line')} AS b, lead({_TRIM('line')}) OVER w AS after, lag({_TRIM('line')}) OVER w AS before FROM u WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos))
+SELECT doc_id, page, pos, line FROM k WHERE NOT coalesce(b = '/' AND after = n, false) AND NOT coalesce(before = '/' AND b = n, false)""")
+def artifact_lines(spark, sf_dir):
+    register_table_functions(spark)
+    X.conversation_lines(spark, sf_dir).createOrReplaceTempView("_lines")
+    return spark.sql("SELECT doc_id, page, pos, line FROM strip_artifacts(TABLE(_lines) PARTITION BY (doc_id, page) ORDER BY pos)")
+
+
+@query("""WITH p AS (SELECT source AS doc_id, doc_id AS page, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, page, unnest(range(0, greatest(length(text), 1), 4096)) AS piece, text FROM p),
+s AS (SELECT doc_id, page, piece, substring(text, piece + 1, 4096) AS text FROM c),
+k AS (SELECT *, CAST(floor((sum(strlen(text)) OVER (PARTITION BY doc_id ORDER BY page, piece ROWS UNBOUNDED PRECEDING) - strlen(text)) / 4096) AS BIGINT) AS chunk FROM s)
+SELECT doc_id, chunk, min(page) AS first_page, max(page) AS last_page, string_agg(text, '' ORDER BY page, piece) AS text FROM k GROUP BY doc_id, chunk""")
+def document_chunks(spark, sf_dir):
+    return chunks(X.read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text"), limit=4096)
+
+
+@query(f"WITH {_PAYLOAD} SELECT tx.doc_id, tx.page, text, coalesce(images, []::VARCHAR[]) AS images, coalesce(links, []::VARCHAR[]) AS links FROM tx LEFT JOIN im ON tx.doc_id = im.doc_id AND tx.page = im.page LEFT JOIN ln ON tx.doc_id = ln.doc_id AND tx.page = ln.page")
+def page_payload_bucketed(spark, sf_dir):
+    relations = {"text": X.web_pages(spark, sf_dir), "images": X.web_images(spark, sf_dir), "links": X.annotations(spark, sf_dir)}
+    folder = removed_at_end(spark, f"{shared_folder(spark)}/bucketed-{uuid.uuid4().hex}")
+    t = load_bucketed(spark, save_bucketed(relations, f"payload_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")), folder=folder))
+    return R.page_payload(t["text"], t["images"], t["links"])
