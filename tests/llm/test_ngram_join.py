@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pagemill.llm import ngram_join
 from pagemill.llm.components import components
 from pagemill.llm.ngram_join import Lists, divide_skip, heap_merge, similar, tallied, tally, untally
 
@@ -72,6 +73,14 @@ def test_block_pairs(spark):
     check(spark, made(4), block=3)
 
 
+def test_the_search_finds_all_links_by_itself(spark, monkeypatch):
+    """Without links to pivots, all that classes leave open goes through the T-occurrence search."""
+    none = lambda sets: sets.limit(0).select(sets.rep.alias("a"), sets.rep.alias("b"))
+    monkeypatch.setattr(ngram_join, "_pivot_links", none)
+    check(spark, made(8))
+    check(spark, made(9), block=8)
+
+
 def test_edges(spark):
     assert similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = similar(spark.createDataFrame([(1, "a b c d e f", 2), (1, "a b c d e f", 3), (None, "x", 4)], "doc_id long, text string, component_id int")).collect()
