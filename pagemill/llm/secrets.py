@@ -194,6 +194,7 @@ def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, in
     ]
     hexes = lambda: some("0123456789abcdef", r.choice([16, 18, 20, 24, 32, 40, 64]))
     password = lambda: r.choice([lambda: some(alnum + "!#$%*-_?", r.randint(7, 20)), lambda: word().capitalize() + some(string.digits, r.randint(2, 4)) + word() + r.choice("!?#*"), lambda: word().capitalize() + "3" + some(string.ascii_letters, r.randint(3, 5))])()
+    where = random.Random(seed + 1)  # places are drawn by themselves, so that the findings don't hang on them
     folders = ["tests", "test", "examples", "fixtures", "samples", "docs", "spec", "vendor"]
     out: list[tuple[str, int, int, int, str]] = []
     while len(out) < n:
@@ -240,8 +241,8 @@ def made_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, in
         head = prose() + " " + left
         text = head + value + (right or ('"' if left.endswith('"') else "'" if left.endswith("'") else ")" if left.endswith("(") else r.choice(["", "", "", ","]))) + " " + prose()
         assert (len(head), len(head) + len(value)) in candidates(text), text
-        folder = r.choice(folders) if r.random() < (0.125 if secret else 0.5) else r.choice(["src", "app", "lib", "deploy", "config", word()])
-        out.append((text, len(head), len(value), int(secret), r.choice(["", *2 * [f"{word()}/{folder}/{word()}.{r.choice(['py', 'yml', 'env', 'js', 'txt'])}"]])))
+        folder = where.choice(folders if where.random() < (0.125 if secret else 0.5) else ["src", "app", "lib", "deploy", "config"])
+        out.append((text, len(head), len(value), int(secret), where.choice(["", *2 * [f"{where.choice(['web', 'api', 'core'])}/{folder}/main.{where.choice(['py', 'yml', 'env', 'js'])}"]])))
     return out
 
 
