@@ -16,11 +16,11 @@ from pagemill.plans.session import cut
 RANGE, MOST = 64 << 20, 20_000
 
 
-def ranges(df: DataFrame) -> int:
+def ranges(df: DataFrame, each: int = RANGE) -> int:
     """How many ranges a frame is dealt into, by the sizes of what it reads (a leaf of unknown size counts as nothing)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(s for s in sizes if s < 1 << 60) // RANGE, MOST))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sum(s for s in sizes if s < 1 << 60) // each, MOST))
 
 
 def dealt(df: DataFrame, by: list[str]) -> DataFrame:

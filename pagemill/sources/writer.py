@@ -8,26 +8,48 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.scan import ranges
+
 #: A map of each two-byte code to the character of that number.
 _MAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
 
 
+def _number(v: float) -> bytes:
+    return _formatted(v) if v else b"-0" if str(v) == "-0.0" else b"0"  # a cache takes both zeros for one
+
+
+@lru_cache(4096)
+def _formatted(v: float) -> bytes:
+    return f"{v:.6f}".rstrip("0").rstrip(".").encode()
+
+
+_NOTHING = zlib.compress(b"")
+
+
 def _value(v) -> bytes:
+    if isinstance(v, str):  # names with their slash, references
+        return v.encode()
+    if isinstance(v, float):
+        return _number(v)
     if isinstance(v, dict):
         return b"<<" + b" ".join(b"/" + k.encode() + b" " + _value(x) for k, x in v.items()) + b">>"
     if isinstance(v, list):
         return b"[" + b" ".join(map(_value, v)) + b"]"
     if isinstance(v, tuple):  # a stream: (dictionary, data)
-        body = zlib.compress(v[1])
+        body = zlib.compress(v[1]) if v[1] else _NOTHING
         return _value(v[0] | {"Filter": "/FlateDecode", "Length": len(body)}) + b"\nstream\n" + body + b"\nendstream"
     if isinstance(v, bytes):
         return b"<" + v.hex().encode() + b">"
-    return (f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)).encode()  # names with their slash, references, numbers
+    return str(v).encode()
+
+
+_WRITTEN_MAP = _value(({}, _MAP))
 
 
 def utf16(text: str) -> bytes:
@@ -45,13 +67,15 @@ def page_content(page: dict) -> bytes:
 def document(pages: list[dict], info: dict | None = None) -> bytes:
     """A file of the pages. Keys of a page: lines, crop, media, links [(subtype, uri, dest, rect)], paint, and
     objects [(name, subtype, width, height, space, bits, data)] as its XObjects. None leaves an entry out."""
-    objects: dict[int, object] = {1: {"Type": "/Catalog", "Pages": "2 0 R"}, 3: {"Type": "/Font", "Subtype": "/Type0", "BaseFont": "/Sans", "Encoding": "/Identity-H", "ToUnicode": "4 0 R"}, 4: ({}, _MAP)}
+    objects: dict[int, object] = {1: {"Type": "/Catalog", "Pages": "2 0 R"}, 3: {"Type": "/Font", "Subtype": "/Type0", "BaseFont": "/Sans", "Encoding": "/Identity-H", "ToUnicode": "4 0 R"}, 4: _WRITTEN_MAP}
     kids, n = [], 5
     for page in pages:
         me, n = n, n + 2
         node = {"Type": "/Page", "Parent": "2 0 R", "Contents": f"{me + 1} 0 R"}
         objects[me + 1] = ({}, page_content(page))
-        node |= {k: page[v] for k, v in (("CropBox", "crop"), ("MediaBox", "media")) if page.get(v) is not None}
+        for k, v in (("CropBox", "crop"), ("MediaBox", "media")):
+            if page.get(v) is not None:
+                node[k] = page[v]
         if page.get("links"):
             node["Annots"] = []
             for subtype, uri, dest, rect in page["links"]:
@@ -77,24 +101,35 @@ def document(pages: list[dict], info: dict | None = None) -> bytes:
     size = len(out[0])
     for number in sorted(objects):
         at[number] = size
-        out.append(f"{number} 0 obj\n".encode() + _value(objects[number]) + b"\nendobj\n")
+        v = objects[number]
+        out.append(b"%d 0 obj\n%b\nendobj\n" % (number, v if v is _WRITTEN_MAP else _value(v)))
         size += len(out[-1])
     table = b"".join(b"%010d 00000 n \n" % at[k] if k in at else b"0000000000 00000 f \n" for k in range(1, n + 1))
     return b"".join(out) + f"xref\n0 {n + 1}\n0000000000 65535 f \n".encode() + table + b"trailer\n" + _value(trailer) + f"\nstartxref\n{size}\n%%EOF\n".encode()
 
 
+#: Bytes of the tables read that a task writes files of; files of an output batch, and their bytes.
+EACH, FILES, BATCH = 8 << 20, 64, 4 << 20
+
+
 def write(pages: DataFrame, build) -> DataFrame:
     """(doc_id, content) of rows (doc_id, page, ...): the rows of a document are gathered and given, by page, to ``build``.
 
-    ``build`` takes the list of rows and returns (pages, info) of document().
+    ``build`` takes the list of rows and returns (pages, info) of document(). The number of tasks goes by what is read: they
+    work much longer than the bytes of their rows suggest, so they are not to be put together by these.
     """
     cols = [c for c in pages.columns if c not in ("doc_id", "page")]
-    held = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", *cols))).alias("rows"))
+    held = pages.repartition(ranges(pages, EACH), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", *cols))).alias("rows"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([document(*build(rows)) for rows in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "content"])
+            ids, files, size = [], [], 0
+            for k in range(b.num_rows):  # one document's rows at a time
+                ids.append(b.column(0)[k].as_py())
+                files.append(document(*build(b.column(1)[k].as_py())))
+                size += len(files[-1])
+                if len(files) == FILES or size >= BATCH or k + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.binary())], names=["doc_id", "content"])
+                    ids, files, size = [], [], 0
 
     return held.select(F.col("doc_id").cast("string").alias("doc_id"), "rows").mapInArrow(run, "doc_id string, content binary")
