@@ -71,8 +71,9 @@ def _parsed(docs: DataFrame, kinds: Iterable[str], errors: str, decoders: dict |
 
 
 def in_order(rows: DataFrame) -> DataFrame:
-    """The rows sorted for a sink: by document, page and number within the page."""
-    return rows.orderBy(*[c for c in ("doc_id", "page", "image_index", "annotation_index", "box_index") if c in rows.columns])
+    """The rows sorted for a sink: by document, page and number within the page. They are written once first: a sort
+    reads its input twice, to sample its ranges and to deal the rows, and would parse it twice."""
+    return cut(rows).orderBy(*[c for c in ("doc_id", "page", "image_index", "annotation_index", "box_index") if c in rows.columns])
 
 
 def page_text(docs: DataFrame, errors: str = "fail") -> DataFrame:

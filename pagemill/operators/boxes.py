@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.geometry import normalise_box, valid_box
+from pagemill.operators.joins import lookup
 from pagemill.operators.ranges import except_ranges, page_ranges, pages_of
+from pagemill.operators.scan import ranges
 from pagemill.plans.session import cut
 
+#: Bytes of the tables read whose documents a task groups.
+EACH = 16 << 20
+
 GEOMETRY = ("left", "bottom", "right", "top", "width", "height")
 
 
@@ -25,9 +30,10 @@ def page_boxes(geometry: DataFrame) -> DataFrame:
 
     Boxes are the same if their four corners have the same bits and they come
     from the same source. Dominant is the group of most pages; of equal ones,
-    that which appears last.
+    that which appears last. Documents are dealt once, into tasks by the size of what is read: boxes and windows need no further exchange.
     """
     bits = [F.col(c).cast("string").alias(f"_{c}") for c in GEOMETRY[:4]]
+    geometry = geometry.repartition(ranges(geometry, EACH), "doc_id")
     groups = geometry.withColumns({f"_{c}": b for c, b in zip(GEOMETRY[:4], bits)}).groupBy("doc_id", *[f"_{c}" for c in GEOMETRY[:4]], "box_type").agg(
         *[F.first(c).alias(c) for c in GEOMETRY], F.count("*").alias("n"), F.min("page").alias("first_page"), F.sort_array(F.collect_list("page")).alias("pages")
     )
@@ -56,10 +62,9 @@ def box_ranges(geometry: DataFrame, listed_only: bool = False) -> DataFrame:
     doc = Window.partitionBy("doc_id")  # a row a box
     ranked = groups.withColumn("dominant", F.row_number().over(doc.orderBy(F.desc("n"), F.desc("first_page"))) == 1).withColumn("box_index", F.row_number().over(doc.orderBy("first_page")).cast("long"))
     boxes = cut(ranked.withColumn("page_count", F.sum("n").over(doc).cast("long")))
-    names = boxes.select(*[F.col(c).alias(f"_k{c}") for c in key], "box_index", "dominant")
-    found = page_ranges(g, key)
-    listed = found.join(names, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in key]).where("not dominant")
-    listed = cut(listed.select("doc_id", "box_index", "first", "last"))
+    # only pages of other boxes than the dominant one are put in order, by their box's number
+    others = lookup(g.select(*key, "page"), boxes.select(*key, "box_index", "dominant"), key, null_safe=True, how="inner").where("not dominant")
+    listed = cut(page_ranges(others.select("doc_id", "box_index", "page"), ["doc_id", "box_index"]))
     parts = listed
     if not listed_only:
         whole = boxes.where("dominant").select("doc_id", F.lit(1).cast("long").alias("first"), F.col("page_count").alias("last"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import data_url
-from pagemill.operators.scan import numbered
+from pagemill.operators.scan import numbered, ranges
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,8 @@ def artifact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as page rectangles: an order is a document, its rows are pages."""
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
+    rows = read(spark, sf_dir, "lineitem")
+    rows.repartition(ranges(rows, 16 << 20), "l_orderkey").createOrReplaceTempView("_lineitem")
     return spark.sql("""
         SELECT CAST(l_orderkey AS STRING) AS doc_id,
                CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS page,

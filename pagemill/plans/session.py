@@ -30,6 +30,17 @@ def removed_at_end(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: Most bytes of an Arrow batch of rows on its way to Python.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let rows go to Python in batches of at most BATCH bytes, whatever the length of their values; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and continue from there; the table goes when the session ends."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.plans.session import bounded_batches
 from pagemill.sources import extract as X
 from pagemill.sources.syntax import Document, PdfError, load
 
@@ -92,12 +93,14 @@ def schema_of(ddl: str):
 
 
 def weight(row: dict) -> int:
-    """Some bytes that a row holds."""
-    return 64 + sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+    """Some bytes that a row holds, as Python objects."""
+    return 512 + sum(4 * len(v) if isinstance(v, str) else len(v) if isinstance(v, bytes) else 32 * len(v) for v in row.values() if isinstance(v, (bytes, str, list)))
 
 
-def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors: str = "fail", bytes_each: int = 16 << 20) -> DataFrame:
-    """Rows of each document; an output batch is closed at ``bytes_each`` of texts and binary data.
+def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors: str = "fail", bytes_each: int = 4 << 20) -> DataFrame:
+    """Rows of each document; an output batch is closed at ``bytes_each`` of rows as Python objects.
+
+    Documents come in batches of bounded bytes (``bounded_batches``), and one at a time is parsed.
 
     With a column ``pages`` (an array of page numbers), ``rows`` gets these as its second argument.
     """
@@ -124,9 +127,11 @@ def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors:
                     if held >= bytes_each:
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
+                doc = None  # goes before the next is parsed
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("string"), "content", *["pages"] * some).mapInArrow(run, ddl)
 
 

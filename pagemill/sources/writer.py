@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.scan import ranges
+from pagemill.plans.session import bounded_batches
 
 #: A map of each two-byte code to the character of that number.
 _MAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
@@ -132,4 +133,5 @@ def write(pages: DataFrame, build) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.binary())], names=["doc_id", "content"])
                     ids, files, size = [], [], 0
 
+    bounded_batches(pages.sparkSession)
     return held.select(F.col("doc_id").cast("string").alias("doc_id"), "rows").mapInArrow(run, "doc_id string, content binary")
