@@ -41,10 +41,10 @@ def artifact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as page rectangles: an order is a document, its rows are pages."""
+def rects(spark: SparkSession, sf_dir: str, each: int = 16 << 20) -> DataFrame:
+    """lineitem as page rectangles: an order is a document, its rows are pages. A document is whole in one task, of ``each`` bytes of the table."""
     rows = read(spark, sf_dir, "lineitem")
-    rows.repartition(ranges(rows, 16 << 20), "l_orderkey").createOrReplaceTempView("_lineitem")
+    rows.repartition(ranges(rows, each), "l_orderkey").createOrReplaceTempView("_lineitem")
     return spark.sql("""
         SELECT CAST(l_orderkey AS STRING) AS doc_id,
                CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS page,

@@ -179,7 +179,7 @@ def pdf_render_auto(spark, sf_dir):
 
 @query(Q.ORACLE["page_boxes"])
 def pdf_boxes(spark, sf_dir):
-    return api.page_boxes(writer.write(X.rects(spark, sf_dir), lambda rows: (rows, None)))
+    return api.page_boxes(writer.write(X.rects(spark, sf_dir, writer.EACH), lambda rows: (rows, None), dealt=True))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 1::BIGINT AS page_count, '1.7' AS version, false AS is_linearized, c_name AS creator, c_mktsegment AS producer,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagemill.plans.session import bounded_batches
 from pagemill.sources import extract as X
-from pagemill.sources.syntax import Document, PdfError, load
+from pagemill.sources.syntax import Document, PdfError, load, small
 
 TEXT = "doc_id string, page long, page_count long, text string"
 IMAGES = "doc_id string, page long, image_index long, width long, height long, data binary, color_space string, bits_per_component long, filter string, xobject_name string, object_id string"
@@ -94,7 +94,11 @@ def schema_of(ddl: str):
 
 def weight(row: dict) -> int:
     """Some bytes that a row holds, as Python objects."""
-    return 512 + sum(4 * len(v) if isinstance(v, str) else len(v) if isinstance(v, bytes) else 32 * len(v) for v in row.values() if isinstance(v, (bytes, str, list)))
+    held = 512
+    for v in row.values():
+        if isinstance(v, (str, bytes, list)):
+            held += len(v) * (4 if isinstance(v, str) else 1 if isinstance(v, bytes) else 32)
+    return held
 
 
 def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors: str = "fail", bytes_each: int = 4 << 20) -> DataFrame:
@@ -113,8 +117,7 @@ def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors:
         out: list[dict] = []
         held = 0
         for b in batches:
-            for i in range(b.num_rows):
-                doc_id = b.column(0)[i].as_py()
+            for i, doc_id in enumerate(b.column(0).to_pylist()):
                 try:
                     doc = load(b.column(1)[i].as_py())
                 except PdfError:
@@ -130,6 +133,7 @@ def scan(docs: DataFrame, rows: Callable[..., Iterable[dict]], ddl: str, errors:
                 doc = None  # goes before the next is parsed
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
+        small.cache_clear()
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("string"), "content", *["pages"] * some).mapInArrow(run, ddl)
