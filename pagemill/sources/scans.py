@@ -92,12 +92,14 @@ def schema_of(ddl: str):
     return StructType.fromDDL(ddl)
 
 
+_EACH = {str: 4, bytes: 1, list: 32}
+
+
 def weight(row: dict) -> int:
     """Some bytes that a row holds, as Python objects."""
     held = 512
     for v in row.values():
-        if isinstance(v, (str, bytes, list)):
-            held += len(v) * (4 if isinstance(v, str) else 1 if isinstance(v, bytes) else 32)
+        held += len(v) * each if (each := _EACH.get(type(v))) else 0
     return held
 
 

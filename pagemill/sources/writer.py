@@ -34,7 +34,7 @@ def _formatted(v: float) -> bytes:
 
 
 def _array(v: list) -> bytes:
-    return b"[" + b" ".join([_number(x) if type(x) is float else _value(x) for x in v]) + b"]"
+    return b"[" + b" ".join([(_formatted(x) if x else _number(x)) if type(x) is float else _value(x) for x in v]) + b"]"
 
 
 _NOTHING = zlib.compress(b"")
@@ -87,7 +87,7 @@ def document(pages: list[dict], info: dict | None = None) -> bytes:
             if page.get(v) is not None:
                 node += k + _array(page[v])
         more: dict = {}
-        content = page_content(page)
+        content = page_content(page) if page.get("lines") or page.get("paint") else b""
         bodies += [b"", _value(({}, content)) if content else _NO_CONTENT]
         if page.get("links"):
             more["Annots"] = []
@@ -123,9 +123,9 @@ def values(a: pa.Array) -> list:
     """What to_pylist gives; lists and structs are cut from their flat values, a call a level instead of one a value."""
     if pa.types.is_list(a.type):
         flat, at, out = values(a.flatten()), 0, []
-        for n in pc.list_value_length(a).to_pylist():
-            out.append(None if n is None else flat[at : at + n])
-            at += n or 0
+        for n in pc.fill_null(pc.list_value_length(a), -1).to_numpy().tolist():
+            out.append(None if n < 0 else flat[at : at + n])
+            at += max(n, 0)
         return out
     if pa.types.is_struct(a.type):
         names = [f.name for f in a.type]
